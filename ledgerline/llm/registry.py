@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe
+from . import bpe, pii, secrets
 
 
 def queries() -> dict[str, Callable]:
-    return {"op10_bpe": bpe.op10_bpe}
+    return {
+        "op1_pii": pii.op1_pii,
+        "op3_secrets": secrets.op3_secrets,
+        "op10_bpe": bpe.op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
