@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, pii, secrets
+from . import bpe, pii, quality, secrets
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_pii": pii.op1_pii,
         "op3_secrets": secrets.op3_secrets,
+        "op6_quality": quality.op6_quality,
         "op10_bpe": bpe.op10_bpe,
     }
 
