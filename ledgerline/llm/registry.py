@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, jaccard, pii, quality, repeats, secrets
+from . import bpe, jaccard, pii, quality, repeats, scoring, secrets
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_pii": pii.op1_pii,
         "op3_secrets": secrets.op3_secrets,
+        "op4_scoring": scoring.op4_scoring,
         "op6_quality": quality.op6_quality,
         "op7_repeats": repeats.op7_repeats,
         "op8_jaccard": jaccard.op8_jaccard,
