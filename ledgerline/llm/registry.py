@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, jaccard, pii, quality, repeats, scoring, secrets
+from . import bpe, jaccard, pii, quality, repeats, scoring, secrets, vectors
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op1_pii": pii.op1_pii,
         "op3_secrets": secrets.op3_secrets,
         "op4_scoring": scoring.op4_scoring,
+        "op5_vectors": vectors.op5_vectors,
         "op6_quality": quality.op6_quality,
         "op7_repeats": repeats.op7_repeats,
         "op8_jaccard": jaccard.op8_jaccard,
