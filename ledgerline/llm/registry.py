@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, jaccard, pii, quality, repeats, scoring, secrets, vectors
+from . import bpe, jaccard, licenses, pii, quality, repeats, scoring, secrets, vectors
 
 
 def queries() -> dict[str, Callable]:
@@ -16,9 +16,10 @@ def queries() -> dict[str, Callable]:
         "op6_quality": quality.op6_quality,
         "op7_repeats": repeats.op7_repeats,
         "op8_jaccard": jaccard.op8_jaccard,
+        "op9_licenses": licenses.op9_licenses,
         "op10_bpe": bpe.op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_licenses": licenses.op9_sql()}
