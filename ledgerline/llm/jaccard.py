@@ -229,5 +229,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their group; columns stay. Of rows that share that doc_id, one
+    stays if their texts are equal; rows of one doc_id with texts of different groups stay in each."""
+    groups = similar_groups(docs)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))

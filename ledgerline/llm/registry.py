@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, jaccard, licenses, pii, quality, repeats, scoring, secrets, vectors
+import corpus_pipeline
+
+from . import bpe, jaccard, leaks, licenses, pii, quality, repeats, scoring, secrets, vectors
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_pii": pii.op1_pii,
+        "op2_leaks": leaks.op2_leaks,
         "op3_secrets": secrets.op3_secrets,
         "op4_scoring": scoring.op4_scoring,
         "op5_vectors": vectors.op5_vectors,
@@ -18,8 +21,10 @@ def queries() -> dict[str, Callable]:
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_licenses": licenses.op9_licenses,
         "op10_bpe": bpe.op10_bpe,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licenses": licenses.op9_sql()}
+    out = {"op9_licenses": licenses.op9_sql()}
+    return out if corpus_pipeline.ORACLE_SQL is None else out | {"pipeline": corpus_pipeline.ORACLE_SQL}
