@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -44,15 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more, and let Spark drop finished shuffles."""
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, and let Spark drop the shuffles of finished steps."""
     for df in tables:
-        spark = df.sparkSession
         for name in df.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def documents(docs: DataFrame) -> DataFrame:

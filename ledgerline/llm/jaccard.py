@@ -117,23 +117,28 @@ def _above(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent_tokens(docs: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent tokens and their counts. First those that are frequent in prefixes by hash alone; texts that hold one
-    in their prefix would have to go on to further tokens, so all of theirs are counted."""
+    """Frequent tokens and their counts. First those that are frequent in prefixes by hash alone; a text that holds some
+    in its prefix will go on to further tokens, about as many more as its share of frequent ones asks for, and those are
+    counted too. Which tokens count as frequent decides how much is compared, never what is found."""
     first = _index(docs, lambda t: t[: slack(len(t)) + 1]).groupBy("token").count()
     first = materialize(first.where(F.col("count") > FREQUENT), "prefix-counts")
-    hot, _ = _above(first, most)
-    release(first)
+    hot, hot_times = _above(first, most)
+    release(docs.sparkSession, first)
     if not len(hot):
-        return hot, hot
+        return hot, hot_times
     spread = docs.sparkSession.sparkContext.broadcast(hot)
 
-    def all_if_hot(t: np.ndarray) -> np.ndarray:
-        return t if (_known(t[: slack(len(t)) + 1], spread.value) >= 0).any() else t[:0]
+    def further(t: np.ndarray) -> np.ndarray:
+        need = slack(len(t)) + 1
+        share = (_known(t[:need], spread.value) >= 0).mean()
+        return t[need : need + int(min(len(t), 1.5 * need * share / max(1e-3, 1 - share) + 4 * (share > 0)))]
 
-    counts = materialize(_index(docs, all_if_hot).groupBy("token").count().where(F.col("count") > FREQUENT), "token-counts")
-    out = _above(counts, most)
-    release(counts)
-    return out
+    counts = materialize(_index(docs, further).groupBy("token").count().where(F.col("count") > FREQUENT), "token-counts")
+    more, times = _above(counts, max(0, most - len(hot)))
+    release(docs.sparkSession, counts)
+    both = np.concatenate((hot, more))
+    tokens, at = np.unique(both, return_inverse=True)
+    return tokens, np.bincount(at, weights=np.concatenate((hot_times, times)), minlength=len(tokens)).astype(np.int64)
 
 
 def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -204,6 +209,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     token = Window.partitionBy("token")
     entries = signatures(docs, frequent_tokens(docs)).withColumns({"low": F.min("node").over(token), "high": F.max("node").over(token)})
     lists = materialize(entries.where("low < high").select("token", "node", "n").distinct(), "lists")
+    release(docs.sparkSession)
     sets = materialize(_sets(docs, reps.join(lists.select("node").distinct(), "node").select("doc_id", "node")), "sets")
 
     by_size = token.orderBy("n", "node")

@@ -125,7 +125,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chu
     contexts = contexts.join(by_name, "name").where("n > 1 or kinds > 1")
     some = materialize(found.join(contexts, ["name", "context"]), "repeated-anchors")
     held = materialize(docs.join(some.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi").select("doc_id", "text", "version"), "held-texts")
-    release(found)
+    release(docs.sparkSession, found)
 
     ranges = [some.where("n > 1").select("doc_id", "version", F.col("low").alias("start"), (F.col("high") + length).alias("end"))]
 
