@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import state
 
-BY_ACCOUNT = Window.partitionBy("account_id")
-BY_MERCHANT = Window.partitionBy("account_id", "merchant_norm")
-IN_ORDER = BY_MERCHANT.orderBy("posted_date", "txn_id")
-ACCOUNT_ORDER = BY_ACCOUNT.orderBy("posted_date", "txn_id")
+
+def by_account():
+    return Window.partitionBy("account_id")
+
+
+def by_merchant():
+    return Window.partitionBy("account_id", "merchant_norm")
+
+
+def in_order():
+    return by_merchant().orderBy("posted_date", "txn_id")
+
+
+def account_order():
+    return by_account().orderBy("posted_date", "txn_id")
 
 
 def mad_scores(ledger: DataFrame) -> DataFrame:
@@ -28,7 +39,7 @@ def amount_outlier(ledger: DataFrame) -> DataFrame:
 
 def new_merchant(ledger: DataFrame, recurring: DataFrame | None = None) -> DataFrame:
     """First row of a merchant that isn't recurring, by size. recurring: (account_id, merchant_norm)."""
-    out = ledger.withColumn("first_seen", F.row_number().over(IN_ORDER) == 1)
+    out = ledger.withColumn("first_seen", F.row_number().over(in_order()) == 1)
     if recurring is not None:
         out = out.join(recurring.select("account_id", "merchant_norm").distinct().withColumn("known", F.lit(True)), ["account_id", "merchant_norm"], "left")
         out = out.withColumn("first_seen", F.col("first_seen") & F.col("known").isNull()).drop("known")
@@ -46,7 +57,7 @@ def poisson_tail(count: Column, mean: Column) -> Column:
 def velocity(ledger: DataFrame) -> DataFrame:
     day = Window.partitionBy("account_id", "posted_date")
     out = ledger.withColumn("day_count", F.count("*").over(day))
-    rate = F.count("*").over(BY_ACCOUNT) / F.size(F.collect_set("posted_date").over(BY_ACCOUNT))
+    rate = F.count("*").over(by_account()) / F.size(F.collect_set("posted_date").over(by_account()))
     out = out.withColumn("day_rate", rate)
     tail = poisson_tail(F.col("day_count"), F.col("day_rate"))
     p = F.when(F.col("day_count") >= 3, tail)
@@ -63,24 +74,24 @@ def duplicate_charge(ledger: DataFrame) -> DataFrame:
 
 def geo_mismatch(ledger: DataFrame) -> DataFrame:
     out = ledger.withColumn("state", state(F.col("raw_description")))
-    return out.withColumn("home", F.mode("state", True).over(BY_ACCOUNT)).withColumn("s_geo", F.when(F.col("state") != F.col("home"), F.lit(0.15)))
+    return out.withColumn("home", F.mode("state", True).over(by_account())).withColumn("s_geo", F.when(F.col("state") != F.col("home"), F.lit(0.15)))
 
 
 def unusual_weekday(ledger: DataFrame) -> DataFrame:
     day = F.weekday("posted_date")
-    out = ledger.withColumn("on_day", F.count("*").over(Window.partitionBy("account_id", "merchant_norm", F.weekday("posted_date")))).withColumn("n_merchant", F.count("*").over(BY_MERCHANT))
-    common = F.max(F.col("on_day")).over(BY_MERCHANT) >= 2
+    out = ledger.withColumn("on_day", F.count("*").over(Window.partitionBy("account_id", "merchant_norm", F.weekday("posted_date")))).withColumn("n_merchant", F.count("*").over(by_merchant()))
+    common = F.max(F.col("on_day")).over(by_merchant()) >= 2
     return out.withColumn("weekday", day.cast("long")).withColumn("s_weekday", F.when((F.col("n_merchant") >= 5) & (F.col("on_day") < 2) & common, F.lit(0.2)))
 
 
 def extreme_amount(ledger: DataFrame) -> DataFrame:
     """More than five times any earlier amount: for accounts with little history."""
-    before = F.max(F.abs("amount")).over(ACCOUNT_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max(F.abs("amount")).over(account_order().rowsBetween(Window.unboundedPreceding, -1))
     return ledger.withColumn("top_before", before).withColumn("s_extreme", F.when((F.col("top_before") > 0) & (F.abs("amount") > 5 * F.col("top_before")), F.lit(1.0)))
 
 
 def cold_start(ledger: DataFrame) -> DataFrame:
-    n, days = F.count("*").over(BY_ACCOUNT), F.datediff(F.max("posted_date").over(BY_ACCOUNT), F.min("posted_date").over(BY_ACCOUNT))
+    n, days = F.count("*").over(by_account()), F.datediff(F.max("posted_date").over(by_account()), F.min("posted_date").over(by_account()))
     return ledger.withColumn("cold_start", (n < 30) | (days < 30))
 
 
@@ -92,7 +103,7 @@ def percentile_of_history(score: str) -> Column:
     """rank with ties averaged, over the account's count."""
     ranked = Window.partitionBy("account_id").orderBy(score)
     ties = F.count("*").over(Window.partitionBy("account_id", score))
-    return (F.rank().over(ranked) + (ties - 1) / 2.0) / F.count("*").over(BY_ACCOUNT)
+    return (F.rank().over(ranked) + (ties - 1) / 2.0) / F.count("*").over(by_account())
 
 
 def rule_scores(ledger: DataFrame, recurring: DataFrame | None = None) -> DataFrame:

@@ -6,19 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PERIODS
-from .detect import BY_MERCHANT, IN_ORDER
+from .detect import by_merchant, in_order
 
 KEY = ["account_id", "merchant_norm"]
 
 
 def gaps(ledger: DataFrame) -> DataFrame:
-    return ledger.withColumn("gap", F.datediff("posted_date", F.lag("posted_date").over(IN_ORDER)).cast("long"))
+    return ledger.withColumn("gap", F.datediff("posted_date", F.lag("posted_date").over(in_order())).cast("long"))
 
 
 def group_stats(ledger: DataFrame) -> DataFrame:
     """Per account and merchant: n, share of gaps near each period, mean and deviation of |amount|, last date."""
     near = [F.avg((F.abs(F.col("gap") - days) <= tolerance).cast("int")).alias(f"p_{name}") for name, days, tolerance, _ in PERIODS]
-    newest = BY_MERCHANT.orderBy(F.desc("posted_date"), F.desc("txn_id"))
+    newest = by_merchant().orderBy(F.desc("posted_date"), F.desc("txn_id"))
     rows = gaps(ledger).withColumn("age", F.row_number().over(newest))
     recent = F.when(F.col("age") <= 3, F.col("amount"))
     return rows.groupBy(*KEY).agg(
@@ -51,7 +51,7 @@ def members(ledger: DataFrame, groups: DataFrame) -> DataFrame:
 
 def price_hikes(ledger: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows over 10 % and 2.0 above the median of the group's earlier amounts."""
-    before = F.percentile(F.abs("amount"), F.lit(0.5)).over(IN_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.percentile(F.abs("amount"), F.lit(0.5)).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     rows = members(ledger, groups).withColumn("old", before).withColumn("new", F.abs("amount"))
     change = F.col("new") - F.col("old")
     rows = rows.where((F.col("old") > 0) & (change > 2.0) & (change / F.col("old") > 0.10))
@@ -64,7 +64,7 @@ def missed_charges(groups: DataFrame, as_of: Column, grace: int = 5) -> DataFram
 
 
 def duplicate_billing(ledger: DataFrame, groups: DataFrame, within: int = 3) -> DataFrame:
-    rows = members(ledger, groups).withColumn("prev_date", F.lag("posted_date").over(IN_ORDER))
+    rows = members(ledger, groups).withColumn("prev_date", F.lag("posted_date").over(in_order()))
     return rows.where(F.datediff("posted_date", "prev_date") <= within).select(*KEY, "txn_id", "prev_date", "posted_date", F.abs("amount").alias("charged"))
 
 

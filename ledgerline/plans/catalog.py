@@ -185,17 +185,17 @@ _DUP = "dup AS (SELECT *, CASE WHEN date_diff('day', posted_date, lead(posted_da
 query("n5_duplicates", "plant", f", {_DUP.replace('{v}', 'plant')} SELECT txn_id, dup_gap FROM dup WHERE dup_gap IS NOT NULL")(lambda l: D.duplicate_charge(l).where("dup_gap IS NOT NULL").select("txn_id", "dup_gap"))
 _OLD = "old AS (SELECT *, abs(amount) AS new, median(abs(amount)) OVER (PARTITION BY account_id, merchant_norm ORDER BY posted_date, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM {v})"
 query("n6_expanding_median", "ord", f", {_OLD.replace('{v}', 'ord')} SELECT txn_id, round(old, 4) AS old FROM old")(
-    lambda l: l.select("txn_id", r(F.percentile(F.abs("amount"), F.lit(0.5)).over(D.IN_ORDER.rowsBetween(Window.unboundedPreceding, -1))).alias("old"))
+    lambda l: l.select("txn_id", r(F.percentile(F.abs("amount"), F.lit(0.5)).over(D.in_order().rowsBetween(Window.unboundedPreceding, -1))).alias("old"))
 )
 query("n7_dup_billing", "plant", f", {_PLANT}, pv AS (SELECT *, lag(posted_date) OVER (PARTITION BY {ROW} ORDER BY posted_date, txn_id) AS prev_date FROM mem) SELECT {ROW}, txn_id, prev_date, posted_date, abs(amount) AS charged FROM pv WHERE date_diff('day', prev_date, posted_date) <= 3")(
     lambda l: R.duplicate_billing(l, R.recurring_groups(l))
 )
 query("n8_trailing_band", "plant", f", {_PLANT} SELECT {ROW}, round(band_mid, 4) AS band_mid, round(coalesce(band_sd, 0), 4) AS band_sd FROM stats")(lambda l: R.group_stats(l).select("account_id", "merchant_norm", r("band_mid").alias("band_mid"), r("band_sd").alias("band_sd")))
-query("n9_pct_rank", "ev", "SELECT txn_id, round((rank() OVER (PARTITION BY account_id ORDER BY amount) + (count(*) OVER (PARTITION BY account_id, amount) - 1) / 2) / count(*) OVER (PARTITION BY account_id), 6) AS pct FROM ev")(
-    lambda l: l.select("txn_id", r(D.percentile_of_history("amount"), 6).alias("pct"))
+query("n9_pct_rank", "ev", "SELECT txn_id, round((rank() OVER (PARTITION BY account_id ORDER BY amount) + (count(*) OVER (PARTITION BY account_id, amount) - 1) / 2) / count(*) OVER (PARTITION BY account_id), 9) AS pct FROM ev")(
+    lambda l: l.select("txn_id", r(D.percentile_of_history("amount"), 9).alias("pct"))
 )
 query("n10_gap_since", "ev", "SELECT txn_id, coalesce(date_diff('day', lag(posted_date) OVER (PARTITION BY account_id ORDER BY posted_date, txn_id), posted_date), 0) AS gap FROM ev")(
-    lambda l: l.select("txn_id", F.coalesce(F.datediff("posted_date", F.lag("posted_date").over(D.ACCOUNT_ORDER)), F.lit(0)).cast("long").alias("gap"))
+    lambda l: l.select("txn_id", F.coalesce(F.datediff("posted_date", F.lag("posted_date").over(D.account_order())), F.lit(0)).cast("long").alias("gap"))
 )
 query("n11_next_date", "plant", f", {_PLANT} SELECT {ROW}, last_date, predicted_next FROM grp")(lambda l: R.recurring_groups(l).select("account_id", "merchant_norm", "last_date", "predicted_next"))
 
@@ -222,14 +222,16 @@ query("d7_extreme", "ev", "SELECT txn_id FROM (SELECT *, max(abs(amount)) OVER (
 _RULES = f"""{_MAD}, {_STATE}, {_DOW}, {_DUP.replace('{v}', 'ord')}, {_VELO.replace('{v}', 'ord')},
 sig AS (SELECT o.txn_id, o.account_id, CASE WHEN z > 3.5 THEN least(1.0::DOUBLE, z / 10) END AS s1,
   CASE WHEN row_number() OVER (PARTITION BY o.account_id, o.merchant_norm ORDER BY o.posted_date, o.txn_id) = 1 AND abs(o.amount) > 50 THEN least(1.0::DOUBLE, abs(o.amount) / 500) END AS s2,
-  CASE WHEN p < 0.01 THEN least(1.0::DOUBLE, 1 - p) END AS s3, CASE WHEN dup_gap IS NOT NULL THEN 1.0::DOUBLE END AS s4, CASE WHEN st.state <> home THEN 0.15::DOUBLE END AS s5, CASE WHEN nm >= 5 AND on_day < 2 AND top >= 2 THEN 0.2::DOUBLE END AS s6
+  CASE WHEN p < 0.01 THEN least(1.0::DOUBLE, 1 - p) END AS s3, CASE WHEN dup_gap IS NOT NULL THEN 1.0::DOUBLE END AS s4, CASE WHEN st.state <> home THEN 0.15::DOUBLE END AS s5, CASE WHEN nm >= 5 AND on_day < 2 AND top >= 2 THEN 0.2::DOUBLE END AS s6,
+  CASE WHEN abs(o.amount) > 5 * max(abs(o.amount)) OVER (PARTITION BY o.account_id ORDER BY o.posted_date, o.txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1.0::DOUBLE END AS s7,
+  count(*) OVER (PARTITION BY o.account_id) < 30 OR date_diff('day', min(o.posted_date) OVER (PARTITION BY o.account_id), max(o.posted_date) OVER (PARTITION BY o.account_id)) < 30 AS cold
   FROM ord o JOIN m3 USING (txn_id) JOIN st USING (txn_id) LEFT JOIN home ON home.account_id = o.account_id JOIN dx USING (txn_id) JOIN dup USING (txn_id) LEFT JOIN velo ON velo.account_id = o.account_id AND velo.posted_date = o.posted_date),
-scored AS (SELECT *, round(greatest(0.0::DOUBLE, coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0), coalesce(s4, 0), coalesce(s5, 0), coalesce(s6, 0)), 6) AS rule_score,
-  (s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT + (s4 IS NOT NULL)::INT + (s5 IS NOT NULL)::INT + (s6 IS NOT NULL)::INT AS n_reasons FROM sig)"""
+scored AS (SELECT *, round(CASE WHEN cold THEN greatest(0.0::DOUBLE, coalesce(s4, 0), coalesce(s7, 0)) ELSE greatest(0.0::DOUBLE, coalesce(s1, 0), coalesce(s2, 0), coalesce(s3, 0), coalesce(s4, 0), coalesce(s5, 0), coalesce(s6, 0)) END, 6) AS rule_score,
+  CASE WHEN cold THEN (s4 IS NOT NULL)::INT + (s7 IS NOT NULL)::INT ELSE (s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT + (s4 IS NOT NULL)::INT + (s5 IS NOT NULL)::INT + (s6 IS NOT NULL)::INT END AS n_reasons FROM sig)"""
 query("d8_merge", "ord", f", {_RULES} SELECT txn_id, rule_score, CAST(n_reasons AS BIGINT) AS n_reasons FROM scored")(lambda l: D.rule_scores(l).select("txn_id", r("rule_score", 6).alias("rule_score"), F.size("anomaly_reasons").cast("long").alias("n_reasons")))
-_PCT = "round((rank() OVER (PARTITION BY account_id ORDER BY rule_score) + (count(*) OVER (PARTITION BY account_id, rule_score) - 1) / 2) / count(*) OVER (PARTITION BY account_id), 6)"
+_PCT = "round((rank() OVER (PARTITION BY account_id ORDER BY rule_score) + (count(*) OVER (PARTITION BY account_id, rule_score) - 1) / 2) / count(*) OVER (PARTITION BY account_id), 9)"
 query("d10_rule_score", "ord", f", {_RULES} SELECT txn_id, account_id, rule_score, {_PCT} AS anomaly_score FROM scored")(
-    lambda l: D.rule_scores(l).withColumn("rule_score", r("rule_score", 6)).select("txn_id", "account_id", "rule_score", r(D.percentile_of_history("rule_score"), 6).alias("anomaly_score"))
+    lambda l: D.rule_scores(l).withColumn("rule_score", r("rule_score", 6)).select("txn_id", "account_id", "rule_score", r(D.percentile_of_history("rule_score"), 9).alias("anomaly_score"))
 )
 query("d11_recurring", "plant", f", {_PLANT} SELECT {ROW}, n, period, confidence FROM s2")(lambda l: R.scored_groups(l).select("account_id", "merchant_norm", "n", "period", "confidence"))
 query("d12_price_hike", "plant", f", {_PLANT}, {_OLD.replace('{v}', 'mem')} SELECT {ROW}, txn_id, posted_date, round(old, 2) AS old_amount, round(new, 2) AS new_amount, round((new - old) / old, 3) AS pct_change FROM old WHERE old > 0 AND new - old > 2.0 AND (new - old) / old > 0.10")(
@@ -268,3 +270,48 @@ def _u2(spark, sf_dir):
 
 query("u4_distinct", "ord", "SELECT DISTINCT account_id, merchant_norm FROM ord")(lambda l: l.select("account_id", "merchant_norm").distinct())
 query("t3_sorted_totals", "ord", "SELECT category, round(sum(abs(amount)), 2) AS total FROM ord GROUP BY 1 ORDER BY 2 DESC")(lambda l: l.groupBy("category").agg(r(F.sum(F.abs("amount")), 2).alias("total")).orderBy(F.desc("total")))
+
+
+# models: no statement for DuckDB, tested by invariants
+
+
+@query("d9_forest", "ord")
+def _d9(l):
+    from ..operators.forest import anomalies
+
+    return anomalies(l).select("txn_id", "account_id", "forest_score", "anomaly_score", "anomaly_reasons")
+
+
+@query("m1_ngrams", "ord")
+def _m1(l):
+    from ..operators.classify import ngrams
+
+    return l.select(F.explode(ngrams(T.clean_descriptor(F.col("raw_description")))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query("m3_classifier", "ord")
+def _m3(l):
+    from ..operators.classify import fit
+
+    return fit(l, folds=2, max_iter=20).predict(l).select("txn_id", "category", "model_category", "model_confidence")
+
+
+@query("m6_grouped_split", "ord")
+def _m6(l):
+    from ..operators.classify import grouped_split
+
+    return grouped_split(l).select("txn_id", "category", "merchant_norm", "is_test")
+
+
+@query("a16_precision_at_k", "ord")
+def _a16(l):
+    from ..operators.evaluate import precision_at_k
+
+    return precision_at_k(D.rule_scores(l).withColumn("is_anomaly", F.abs("amount") > 450000))
+
+
+@query("w7_chase_lines", "ev")
+def _w7(l):
+    from ..sources.writers import rendered
+
+    return rendered(l, "chase").select("value")
