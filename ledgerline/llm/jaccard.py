@@ -172,11 +172,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").where(similar(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(similar(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, tokens) of the wanted (doc_id, node)."""
+    """(node, n, tokens) of the wanted (doc_id, node); more than once where rows are repeated, which adds no pairs."""
 
     def run(batches):
         for batch in batches:
@@ -189,7 +189,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), tokens], names=["node", "n", "tokens"])
 
     rows = documents(docs).join(wanted, "doc_id").select("doc_id", "text", "node")
-    return rows.mapInArrow(run, "node long, n long, tokens array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, n long, tokens array<long>")
 
 
 def _unordered(a: str, b: str) -> list[Column]:
