@@ -24,7 +24,16 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Powers(dict):
+    """Powers by base. They stay where they were made: functions that go to executors take none along."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_powers = _Powers()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
