@@ -2,8 +2,9 @@
 
 In each pass vectors are ordered by their label and the concatenated signs of random projections, and every vector is
 compared with a bounded window of followers in that order. Verified pairs of all passes are united into components.
-Equal vectors are one node from the start. The number of links is then counted exactly inside each component, block
-against block, so that neither windows nor large groups cap it.
+Equal vectors are one node from the start. An exact completion follows: blocks of a label are compared with every block
+that a bound on distances leaves in reach, links are counted, and those between components join them. So neither windows
+nor large groups cap anything, and the passes decide nothing: they only leave less to join.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ COSINE = 0.98
 PASSES = 10
 #: Sign bits of a sort key, and followers each vector is compared with.
 BITS, WINDOW = 48, 24
-#: Nodes in a block when links are counted.
-BLOCK = 512
+#: Nodes in a block when links are counted, and rows of a block that are compared at once.
+BLOCK, SLICE = 2048, 256
 #: Partitions of the sorted rows of all passes.
 PARTITIONS = 48
 
@@ -114,37 +115,92 @@ def window_pairs(nodes: DataFrame, passes: int = PASSES, bits: int = BITS, windo
 _PAIRED = ("a", "b", "edge", "place", "node", "label", "v", "sort_pass")
 
 
-def link_counts(members: DataFrame, least: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """(node, links): for nodes (node, root, many, v), of which `many` equal vectors each, the vectors of other nodes of
-    the same root with a cosine of at least `least`. Small components share a task; large ones are dealt in blocks, and
-    every pair of blocks is a task of its own."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("size"))
-    sizes = sizes.where("size > 1")
-    bins = max(1, -(-(sizes.where(F.col("size") <= block).agg(F.sum("size")).first()[0] or 0) // block))
-    rows = members.join(sizes, "root")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    small = F.col("size") <= block
-    mine = F.when(small, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rows = rows.withColumn("mine", mine).withColumn("bin", F.when(small, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")))
-    rows = rows.withColumn("other", F.explode(F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))))
-    rows = rows.select("node", "root", "many", "v", "mine", "bin", small.alias("small"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-
-    def count(f: pd.DataFrame) -> pd.DataFrame:
-        root, many = f["root"].to_numpy(), f["many"].to_numpy()
-        size = f["v"].map(len)
-        x = np.zeros((len(f), size.max()))
-        for s in size.unique():
-            x[size == s, :s] = unit(f["v"][size == s])
-        near = (x @ x.T >= least) & (root[:, None] == root[None])
-        if f["i"].iat[0] != f["j"].iat[0]:  # pairs inside one block are counted where it meets itself
-            near &= f["mine"].to_numpy()[:, None] != f["mine"].to_numpy()[None]
-        np.fill_diagonal(near, False)
-        return pd.DataFrame({"node": f["node"], "links": near @ many})
-
-    return rows.groupBy("small", "bin", "i", "j").applyInPandas(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-
-
-def near_duplicates(vectors: DataFrame, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, least: float = COSINE) -> DataFrame:
+def celled(nodes: DataFrame, least: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """nodes with area, cell and reach. Only nodes of one area can link, and those of one label and length share one: large
+    ones have an area each, with about one pivot a block; small ones are dealt to areas together. A node's cell is its
+    nearest pivot, and reach holds every cell in which a node may be near enough to it. That is exact: whatever lies in
+    another cell is on the other side of the plane between both pivots, so the distance to that plane is a lower bound."""
+    spark = nodes.sparkSession
+    kinds = nodes.groupBy("label", F.size("v").alias("dims")).agg(F.count("*").alias("size"))
+    large = {(r["label"], r["dims"]): i for i, r in enumerate(kinds.where(F.col("size") > block).collect())}
+    areas = -(-(kinds.where(F.col("size") <= block).agg(F.sum("size")).first()[0] or 0) // block)
+    picked = nodes.select("node", "label", "v").where(F.pmod(F.xxhash64("node", F.lit(17)), F.lit(block)) == 0).join(F.broadcast(kinds.where(F.col("size") > block)), "label")
+    held: dict[tuple, list] = {}
+    for r in picked.where(F.size("v") == F.col("dims")).orderBy("node").select("label", "dims", "v").collect():
+        held.setdefault((r["label"], r["dims"]), []).append(r["v"])
+    spread = spark.sparkContext.broadcast((large, {k: unit(pd.Series(v)) for k, v in held.items()}))
+    radius = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        large, pivots = spread.value
+        for f in frames:
+            for key, part in f.groupby(["label", f["v"].map(len)]):
+                cell, reach = np.zeros(len(part), np.int64), [[0]] * len(part)
+                if key in pivots:
+                    dots = unit(part["v"]) @ pivots[key].T
+                    cell = dots.argmax(axis=1)
+                    gap = np.sqrt(np.maximum(0, 2 - 2 * pivots[key][cell] @ pivots[key].T))
+                    near = dots.max(axis=1, keepdims=True) - dots <= radius * gap + 1e-7
+                    reach = [np.flatnonzero(x).tolist() for x in near]
+                yield part.assign(area=large.get(key, -1), cell=cell, reach=reach)
+
+    fields = ", ".join(f"{c} {t}" for c, t in nodes.dtypes)
+    found = nodes.mapInPandas(run, f"{fields}, area long, cell long, reach array<long>")
+    return found.withColumn("area", F.when(F.col("area") < 0, -1 - F.pmod(F.xxhash64("label", F.size("v")), F.lit(max(1, areas)))).otherwise(F.col("area")))
+
+
+def _merged(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """low, the smallest member of each one's component, after a and b are linked one by one."""
+    while len(a):
+        x, y = low[a], low[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+    return low
+
+
+def _linked(f: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The links between two blocks, or inside one: node, links, root and the smallest root that links of these lead to."""
+    roots, root = np.unique(f["root"].to_numpy(), return_inverse=True)
+    many, mine, low = f["many"].to_numpy(), f["mine"].to_numpy(), np.arange(len(roots))
+    size = f["v"].map(len)
+    kind = pd.factorize(f["label"].str.cat(size.astype(str), sep="/"))[0]
+    x = np.zeros((len(f), size.max()))
+    for s in size.unique():
+        x[size == s, :s] = unit(f["v"][size == s])
+    inside = f["i"].iat[0] == f["j"].iat[0]
+    left, right = np.flatnonzero(mine == f["i"].iat[0]), np.flatnonzero(mine == f["j"].iat[0])
+    links = np.zeros(len(f), np.int64)
+    for at in range(0, len(left), SLICE) if len(right) else ():
+        rows = left[at : at + SLICE]
+        near = (x[rows] @ x[right].T >= least) & (kind[rows][:, None] == kind[right][None])
+        if inside:
+            near[np.arange(len(rows)), at + np.arange(len(rows))] = False
+        else:
+            links[right] += many[rows] @ near
+        links[rows] += near @ many[right]
+        a, b = np.nonzero(near & (low[root[rows]][:, None] != low[root[right]][None]))
+        low = _merged(low, root[rows[a]], root[right[b]])
+    out = pd.DataFrame({"node": f["node"], "links": links, "root": f["root"], "joined": roots[low][root]})
+    return out[links > 0]
+
+
+def exact_links(members: DataFrame, least: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """(node, links, root, joined), in parts that add up: for nodes (node, root, many, label, v and those of celled), of
+    which `many` equal vectors each, the vectors of other nodes with a cosine of at least `least`, and another root that
+    links lead to from this one. Cells are dealt in blocks, and every pair of blocks in reach is a task of its own."""
+    cells = members.groupBy("area", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    mine = F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))
+    rows = members.join(cells, ["area", "cell"]).withColumn("mine", mine).drop("cell", "parts").withColumn("cell", F.explode("reach"))
+    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.col("cell") * (1 << 32) + p))
+    rows = rows.join(cells, ["area", "cell"]).withColumn("other", other)
+    rows = rows.select("node", "root", "many", "label", "v", "area", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return rows.groupBy("area", "i", "j").applyInPandas(lambda f: _linked(f, least), "node long, links long, root long, joined long")
+
+
+def near_duplicates(vectors: DataFrame, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, least: float = COSINE, block: int = BLOCK) -> DataFrame:
     """Per vector: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept.
 
     Vectors that are null, zero, without a label, or hold null or non-finite components link with nothing, and so do
@@ -154,9 +210,14 @@ def near_duplicates(vectors: DataFrame, passes: int = PASSES, bits: int = BITS,
     vectors = noded(vectors)
     nodes = materialize(vectors.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("many"), F.first("label").alias("label"), F.first("v").alias("v")), "vectors")
     links = materialize(window_pairs(nodes, passes, bits, window, least).distinct(), "vector-links")
-    members = nodes.join(components(links), "node").select("node", "root", "many", "low", "v")
+    found = components(links).withColumnRenamed("node", "u")
+    members = celled(nodes, least, block).join(found, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("root", "node")).drop("u")
     members = materialize(members, "members")
-    counted = link_counts(members, least)
+    counted = materialize(exact_links(members, least, block), "exact-links")
+    joined = components(counted.where("root <> joined").select(F.col("root").alias("a"), F.col("joined").alias("b")).distinct())
+    joined = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    members = members.select("node", "root", "low").join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"), "low")
+    counted = counted.groupBy("node").agg(F.sum("links").alias("links"))
     smallest = members.groupBy("root").agg(F.min("low").alias("component"))
     linked = members.select("node", "root").join(smallest, "root").join(counted, "node", "left").select("node", "component", "links")
     by_node = nodes.select("node", "many", "low").join(linked, "node", "left").select("node", "many", F.coalesce("component", "low").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -204,6 +204,24 @@ def test_vectors(spark):
         assert x.n_links == sum(like(x.vec_id, o) for o in want if o != x.vec_id)
 
 
+@pytest.mark.parametrize("block", [vectors.BLOCK, 150])
+def test_vectors_of_a_large_group_on_the_bound(spark, block):
+    """Thousands of near copies whose cosines straddle the least one, in small areas and in cells, and scattered vectors."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(size=64) + 0.2 * r.normal(size=(2200, 64)), r.normal(size=(300, 64))])
+    x = np.concatenate([x, x[-300:-150] + 0.19 * r.normal(size=(150, 64))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.arange(len(x)) % 11 == 0
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    while ((low := np.where(near, root[None], len(x)).min(axis=1)) < root).any():
+        root = np.minimum(root, low)
+    rows = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {g.vec_id: (g.n_links, g.component_id, g.kept) for g in (vectors.near_duplicates(rows, block=block) if block != vectors.BLOCK else vectors.near_duplicates(rows)).collect()}
+    assert near.sum() > 1000 and got == {i: (near[i].sum(), root[i], root[i] == i) for i in range(len(x))}
+
+
 # -- benchmark
 
 
