@@ -2,7 +2,7 @@
 
 Texts are cut into sentences, which are normalised (lower case, letters and digits only, single spaces). Known licence
 sentences have identifiers; a text becomes the sequence of its identifiers, and each licence has an ordered rule of
-identifiers, possibly with others between. Known sentences are few and fixed, so their table is broadcast as literals and
+identifiers, possibly with others between. Notices are found wherever they stand, however they are wrapped. Known sentences are few and fixed, so their table is broadcast as literals and
 the scan is a narrow projection.
 """
 
@@ -77,6 +77,21 @@ IMPLIED = {"BSD-3-Clause": "BSD-2-Clause"}
 END = r"[.!?:;](?=[ \t\r\n]|$)|\n"
 #: A line that begins with a small letter goes on with the sentence before.
 WRAP = r"\n[ \t]*([a-z])"
+#: Sentences that stand in notices, where punctuation that ends others, line ends and comment marks come between words.
+NOTICES = [x for k in ("mit.grant", "mit.notice", "apache2.name", "gpl.free", "gpl2.free", "mpl2.name", "bsd.grant", "bsd.source", "bsd.binary", "bsd.names", "isc.grant") for x in SENTENCES[k] if len(x.split()) > 12]
+
+
+def _spread(sentence: str) -> str:
+    """The pattern of a normalised sentence with anything but letters and digits between its words."""
+    return "(?i)(?<![a-z0-9])" + "[^a-z0-9]++".join(sentence.split()) + "(?![a-z0-9])"
+
+
+def noticed(text: Column) -> Column:
+    """text with its notices as sentences of their own."""
+    out = text
+    for x in NOTICES:
+        out = F.regexp_replace(out, _spread(x), f"\n{x.capitalize()}.\n")
+    return F.when(text.rlike("|".join(map(_spread, NOTICES))), out).otherwise(text)
 
 
 def normalised(sentence: Column) -> Column:
@@ -87,9 +102,8 @@ def identifiers(text: Column) -> Column:
     """The identifiers of a text's known sentences, in order."""
     by_sentence = {s: k for k, sentences in SENTENCES.items() for s in sentences}
     known = F.create_map(*[F.lit(x) for pair in by_sentence.items() for x in pair])
-    longest = max(map(len, by_sentence))
-    found = lambda cut: F.array_compact(F.transform(cut, lambda s: F.when(F.length(s) <= 4 * longest, known[normalised(s)])))
-    return found(F.split(F.regexp_replace(text, WRAP, " $1"), END, -1))
+    found = lambda cut: F.array_compact(F.transform(cut, lambda s: known[normalised(s)]))
+    return found(F.split(F.regexp_replace(noticed(text), WRAP, " $1"), END, -1))
 
 
 def _pattern(rule: Rule) -> str:
@@ -115,7 +129,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 #: Every known sentence holds one of these, so that a text without them needs no cutting.
-HINT = "(?i)licen[sc]e|permi|redistribut|copyright|cc.?by|cc0|public domain|unencumbered|rights reserved|you may obtain|free software"
+HINT = "(?i)licen[sc]e|permi|redistribut|copyright|cc[^a-z0-9]*by|cc0|public[^a-z0-9]+domain|unencumbered|rights[^a-z0-9]+reserved|free[^a-z0-9]+software"
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:

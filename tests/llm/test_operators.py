@@ -334,6 +334,32 @@ def test_licence_rules_are_ordered(spark):
     assert got == {1: ["BSD-2-Clause"], 2: [], 3: ["BSD-3-Clause"]}
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """This program is free software{}you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{}either version {} of the License, or
+(at your option) any later version.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_verbatim_notices(spark, mark):
+    texts = [APACHE, GPL.format(": ", ", ", 3), GPL.format("; ", "; ", 2), MPL, "All rights\nreserved.", "Mit" + " -" * 9000 + " license"]
+    rows = [(i, "Some words.\n" + "".join(mark + x for x in t.splitlines(keepends=True)) + "More.") for i, t in enumerate(texts[:4])] + [(i, texts[i]) for i in (4, 5)]
+    got = {r.doc_id: (r.identifiers, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][1] for i in range(4)] == [["Apache-2.0"], ["GPL-3.0-or-later"], ["GPL-2.0-or-later"], ["MPL-2.0"]]
+    assert got[0][0] == ["apache2.name", "apache2.copy"] and got[4][0] == ["reserved"] and got[5][1] == ["MIT"]
+
+
 @pytest.mark.parametrize(
     "run",
     [lambda d: pii.find(d, pii.PiiModel()), secrets.find, jaccard.similar_groups, repeats.remove_repeats, scoring.score_documents, licenses.scan, lambda d: bpe.encode_documents(d, bpe.public_path()), lambda d: pii.redact(d)],
