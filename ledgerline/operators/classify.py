@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.text import amount_bucket, clean_descriptor
 
 NUMBERS = ["bucket", "outflow", "weekday", "weekend"]
+#: Terms of a vocabulary at most: as many as there can be.
+ALL = (1 << 31) - 1
 
 
 def ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
@@ -56,7 +58,7 @@ class CategoryModel:
         return scored.withColumns({"model_category": label, "model_confidence": F.coalesce(F.try_divide(top, whole), F.lit(0.0))}).select(*rows.columns, "model_category", "model_confidence")
 
 
-def fit(rows: DataFrame, label: str = "category", folds: int = 3, max_iter: int = 200) -> CategoryModel:
+def fit(rows: DataFrame, label: str = "category", folds: int = 3, max_iter: int = 2000) -> CategoryModel:
     """Classes weigh alike. Each class's probability is calibrated on rows that the regression hasn't seen."""
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     data = model_features(index.transform(rows))
@@ -64,7 +66,7 @@ def fit(rows: DataFrame, label: str = "category", folds: int = 3, max_iter: int
     k, n = len(index.labels), data.count()
     data = data.withColumn("weight", F.lit(float(n)) / (k * F.count("*").over(by_class))).withColumn("fold", F.row_number().over(by_class.orderBy(F.xxhash64("txn_id"))) % folds)
     stages = [
-        CountVectorizer(inputCol="grams", outputCol="tf", minDF=2), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="text"),
+        CountVectorizer(inputCol="grams", outputCol="tf", minDF=2, vocabSize=ALL), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="text"),
         VectorAssembler(inputCols=NUMBERS, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="numbers", withMean=True), VectorAssembler(inputCols=["text", "numbers"], outputCol="features"),
         LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter, regParam=1e-3, standardization=False),
     ]

@@ -293,7 +293,7 @@ def _m1(l):
 def _m3(l):
     from ..operators.classify import fit
 
-    return fit(l, folds=2, max_iter=20).predict(l).select("txn_id", "category", "model_category", "model_confidence")
+    return fit(l).predict(l).select("txn_id", "category", "model_category", "model_confidence")
 
 
 @query("m6_grouped_split", "ord")

@@ -101,3 +101,23 @@ def test_store_operators(spark):
     assert [r.txn_id for r in top_anomalies(acknowledged(rows, new.where("txn_id = 2"))).collect()] == [1]
     log = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "key string, at int, v string")
     assert latest(log, ["key"], ["at"]).first().v == "b"
+
+
+def test_registered_classifier_fits_in_full(spark, monkeypatch):
+    from ledgerline.operators import classify
+    from ledgerline.plans import catalog
+
+    class Stop(Exception):
+        pass
+
+    def stop(stages):
+        iterations, vocabulary = stages[-1].getMaxIter(), stages[0].getVocabSize()
+        raise Stop(iterations, vocabulary)
+
+    folds = []
+    fit = classify.fit
+    monkeypatch.setattr(classify, "fit", lambda *a, **k: (folds.append(k.get("folds", fit.__defaults__[1])), fit(*a, **k))[1])
+    monkeypatch.setattr(classify, "Pipeline", stop)
+    with pytest.raises(Stop) as stopped:
+        catalog.queries()["m3_classifier"](spark, "/root/testdata/sf0.001")
+    assert folds == [3] and stopped.value.args == (2000, 2**31 - 1)
