@@ -75,6 +75,26 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def versions(docs: DataFrame) -> DataFrame:
+    """documents() with a hash of the text, `version`, which tells rows of one doc_id, or of none, apart."""
+    return documents(docs).withColumn("version", F.xxhash64("text"))
+
+
+def join_versions(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on (doc_id, version), columns of `left` coming first; a null doc_id equals a null doc_id."""
+    right = right.withColumnsRenamed({"doc_id": "same_id", "version": "same_version"})
+    both = left.join(right, left["doc_id"].eqNullSafe(F.col("same_id")) & (left["version"] == F.col("same_version")), how)
+    return both.drop("same_id", "same_version")
+
+
+def rows_of(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+    """Rows of docs, with all their columns, that have ("left_semi") or don't have ("left_anti") a (doc_id, version) among
+    the wanted. A row travels as one struct, so its columns may have any names."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.struct("*").alias("row"))
+    return join_versions(rows, wanted.select("doc_id", "version"), how)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -100,7 +120,7 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
 class Bytes:
     """The texts of some rows as one byte buffer; row i is data[offsets[i]:offsets[i + 1]]."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray):
         self.ids, self.data, self.offsets = ids, data, offsets
 
     def prefix_hash(self) -> np.ndarray:
@@ -114,7 +134,7 @@ def byte_steps(batches: Iterator[pa.RecordBatch], column: str = "text", lower: b
     """Arrow batches of (doc_id, text) as Bytes of about STEP_BYTES each; null texts are empty."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).fill_null(b"")
-        ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+        ids = batch.column(batch.schema.get_field_index("doc_id"))
         if not len(texts):
             continue
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -124,7 +144,7 @@ def byte_steps(batches: Iterator[pa.RecordBatch], column: str = "text", lower: b
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, side="right")) - 1)
             part = data[offsets[at] : offsets[to]]
-            yield Bytes(ids[at:to], _LOWER[part] if lower else part, offsets[at : to + 1] - offsets[at])
+            yield Bytes(ids.slice(at, to - at), _LOWER[part] if lower else part, offsets[at : to + 1] - offsets[at])
             at = to
 
 

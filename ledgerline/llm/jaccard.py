@@ -1,16 +1,21 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A text's tokens are its distinct word shingles. One global order puts rare tokens (by hash) before frequent ones (by
-count). If two sets are similar enough, the first token that they share lies in both prefixes. Where it is rare, both
-are found under that single token. Where it is frequent, so are all tokens that they share; prefixes are then extended
-to all frequent tokens of a set, and neighbouring ones are indexed as 2-token combinations: of the o shared tokens at
-most o / 3 gaps can be broken at a similarity of 3/4, so at least 2 o / 3 - 1 combinations are shared. The number of
-combinations grows with a set, not with its square, and texts that merely hold one common passage have enough rare
-tokens never to be indexed under it.
-
-Texts with equal sets are one node from the start. Lists of the index are linked in two steps, so that a list of m
-similar texts costs m comparisons and not m**2: neighbours by size are compared first; afterwards, only members of a
-list that aren't connected yet are compared with each other. That loses no link between components.
+A text's tokens are its distinct word shingles. Two similar sets of n and m tokens share at least 3/7 (n + m) of them and
+differ in at most 1/7 (n + m); everything here follows from these two numbers, and nothing that they allow is left out.
+
+1. Extended prefixes select: of the first slack(n) + reach(n) tokens by hash, a set must share some with other sets, more
+   than one the further the prefix is extended. Most texts share too few and are alone; only the others go on.
+2. Among those, tokens are ordered by how many sets hold them. A set with more tokens of its own than slack(n) is alone.
+3. Rare tokens are indexed singly: those of the prefix. Where the prefix reaches frequent tokens, these are indexed as
+   combinations of two neighbours in the order of hashes: each token that two sets don't share breaks one combination at
+   most, so that at least 3/2 n - 1 - f of the f - 1 combinations of a set with f frequent tokens are shared, and a prefix
+   of the combinations suffices.
+4. Each list of the index names a hub, the set with the fewest rare tokens for its size. All members of a hub's lists
+   are compared with the hub; only members that this leaves in different groups are compared with each other, where
+   parities of hashed tokens (bits that differ are tokens that differ) don't exclude it. So a group of m copies costs m
+   comparisons, and no link between groups is lost.
+
+Texts with equal sets are one node from the start. Verification compares whole sets.
 """
 
 from __future__ import annotations
@@ -19,29 +24,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_steps, documents, materialize, mix, release, shingles, table
+from .common import byte_steps, join_versions, materialize, mix, release, rows_of, shingles, table, versions
 from .components import components
+from .spans import let
 
 #: Two sets are similar if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Tokens below this are a quarter of all.
-QUARTER = -(1 << 62)
-#: Tokens of more texts than this are frequent.
+#: Tokens of more sets than this are frequent.
 FREQUENT = 8
-#: Frequent tokens that are broadcast, at most; with more, the bound between rare and frequent rises.
-MOST_FREQUENT = 4_000_000
+#: A set's prefix is extended by one token in so many.
+EXTEND = 12
+#: 64-bit words of parities that a node carries.
+WORDS = 8
+#: Members of a hub that one slice of a comparison holds.
+SLICE = 2000
 
 
 def token_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """doc_id and the sorted distinct shingles of each text."""
-    for b in byte_steps(batches, lower=True):
-        tokens, to = shingles(b)
-        tokens = tokens.view(np.int64)
-        for i, doc_id in enumerate(b.ids):
-            yield doc_id, np.unique(tokens[to[i] : to[i + 1]])
+    """Row number in the batch and the sorted distinct shingles of each text."""
+    for batch in batches:
+        at = 0
+        for b in byte_steps([batch], lower=True):
+            tokens, to = shingles(b)
+            tokens = tokens.view(np.int64)
+            for i in range(len(b.ids)):
+                yield at + i, np.unique(tokens[to[i] : to[i + 1]])
+            at += len(b.ids)
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -50,115 +61,112 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def least_overlap(n: int) -> int:
+    """Tokens of a set of n that any similar set holds."""
+    return -(-PERCENT * n // 100)
+
+
 def slack(n: int) -> int:
     """Tokens of a set of n that a similar set may lack."""
-    return n - -(-PERCENT * n // 100)
+    return n - least_overlap(n)
+
+
+def reach(n: int) -> int:
+    """Tokens by which the prefix of a set of n is extended."""
+    return -(-n // EXTEND)
+
+
+def shared_at_least(n: int) -> int:
+    """Tokens of the extended prefix that a set of n shares with any similar one: both prefixes hold the first shared
+    tokens, as many as the shorter extension, and a similar set has least_overlap(n) tokens or more."""
+    return reach(least_overlap(n))
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """WORDS words: a bit tells whether an odd number of tokens falls on it. Bits that differ between two sets are at most
+    the tokens that differ."""
+    odd = np.bincount((tokens.view(np.uint64) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n): texts with equal sets share a node; n is the size of the set."""
+    """(doc_id, version, node, n, prefix): texts with equal sets share a node; n is the size of the set; prefix has its
+    first tokens by hash, once a task for each node, and for none that is too small to be like another set."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            rows = [(d, node_of(t), len(t)) for d, t in token_sets([batch])]
-            if rows:
-                d, k, n = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "node", "n"])
+            node, size, prefix = [], [], []
+            for _, t in token_sets([batch]):
+                k, n = node_of(t), len(t)
+                node.append(k)
+                size.append(n)
+                prefix.append(t[: slack(n) + reach(n)] if n > 2 and k not in seen else t[:0])
+                seen.add(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64()), _lists(prefix)], names=["doc_id", "version", "node", "n", "prefix"])
+
+    return docs.select("doc_id", "text", "version").mapInArrow(run, "doc_id long, version long, node long, n long, prefix array<long>")
 
-    return documents(docs).mapInArrow(run, "doc_id long, node long, n long")
 
+def sociable(found: DataFrame) -> DataFrame:
+    """Nodes (node, n) that share enough tokens of their extended prefixes with other nodes."""
+    entries = found.select("node", "n", F.explode("prefix").alias("token"))
+    shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
+    hits = entries.join(shared, "token", "left_semi").distinct().groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("hits"))
+    least = F.ceil((F.col("n") - F.floor(F.col("n") * (100 - PERCENT) / 100)) / EXTEND)  # shared_at_least(n)
+    return hits.where(F.col("hits") >= least).select("node", "n")
 
-def _index(docs: DataFrame, pick) -> DataFrame:
-    """(token, node, n): what pick(tokens) gives for each set of two tokens or more, once a task for each set."""
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, tokens, p0, p1, ...) of the wanted (doc_id, version); repeated rows give repeated ones."""
+    words = [f"p{i}" for i in range(WORDS)]
 
     def run(batches):
-        seen: set[int] = set()
-        out: list[tuple[np.ndarray, int, int]] = []
-
-        def batch_of(rows):
-            sizes = [len(r[0]) for r in rows]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([r[0] for r in rows])), pa.array(np.repeat([r[1] for r in rows], sizes)), pa.array(np.repeat([r[2] for r in rows], sizes))], names=["token", "node", "n"]
-            )
-
-        held = 0
-        for _, tokens in token_sets(batches):
-            if len(tokens) < 2 or (node := node_of(tokens)) in seen:
-                continue
-            seen.add(node)
-            out.append((pick(tokens), node, len(tokens)))
-            held += len(out[-1][0])
-            if held > 200_000:
-                yield batch_of(out)
-                out, held = [], 0
-        if out:
-            yield batch_of(out)
-
-    return documents(docs).mapInArrow(run, "token long, node long, n long")
-
-
-def _known(tokens: np.ndarray, sorted_tokens: np.ndarray) -> np.ndarray:
-    if not len(sorted_tokens):
-        return np.full(len(tokens), -1)
-    at = np.minimum(np.searchsorted(sorted_tokens, tokens), len(sorted_tokens) - 1)
-    return np.where(sorted_tokens[at] == tokens, at, -1)
-
-
-def _above(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and counts above FREQUENT, sorted by token, `most` of them or fewer: the bound rises until they are."""
-    bound = FREQUENT
-    levels = counts.where(F.col("count") > FREQUENT).groupBy(F.ceil(F.log2("count") * 8).alias("level")).agg(F.count("*").alias("n"), F.max("count").alias("top")).orderBy(F.desc("level")).collect()
-    held = 0
-    for row in levels:  # at most 8 levels for each doubling
-        held += row["n"]
-        if held > most:
-            bound = row["top"]
-            break
-    rows = counts.where(F.col("count") > bound).toPandas().sort_values("token")
-    return rows["token"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
-
-
-def frequent_tokens(docs: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent tokens and their counts. First those that are frequent in prefixes by hash alone; a text that holds some
-    in its prefix will go on to further tokens, about as many more as its share of frequent ones asks for, and those are
-    counted too. Which tokens count as frequent decides how much is compared, never what is found."""
-    first = _index(docs, lambda t: t[: slack(len(t)) + 1]).groupBy("token").count()
-    first = materialize(first.where(F.col("count") > FREQUENT), "prefix-counts")
-    hot, hot_times = _above(first, most)
-    release(docs.sparkSession, first)
-    if not len(hot):
-        return hot, hot_times
-    spread = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def further(t: np.ndarray) -> np.ndarray:
-        need = slack(len(t)) + 1
-        share = (_known(t[:need], spread.value) >= 0).mean()
-        return t[need : need + int(min(len(t), 1.5 * need * share / max(1e-3, 1 - share) + 4 * (share > 0)))]
-
-    counts = materialize(_index(docs, further).groupBy("token").count().where(F.col("count") > FREQUENT), "token-counts")
-    more, times = _above(counts, max(0, most - len(hot)))
-    release(docs.sparkSession, counts)
-    both = np.concatenate((hot, more))
-    tokens, at = np.unique(both, return_inverse=True)
-    return tokens, np.bincount(at, weights=np.concatenate((hot_times, times)), minlength=len(tokens)).astype(np.int64)
-
-
-def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(token, node, n): rare tokens of the prefix, and combinations of frequent ones where the prefix reaches them."""
-    spread = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def pick(tokens: np.ndarray) -> np.ndarray:
-        known, counts = spread.value
-        at = _known(tokens, known)
-        rare = tokens[at < 0]
-        need = slack(len(tokens)) + 1
-        if len(rare) >= need:
-            return rare[:need]
-        often = tokens[at >= 0]
-        often = often[np.lexsort((often, counts[at[at >= 0]]))].view(np.uint64)
-        return np.concatenate((rare, mix(mix(often[:-1]) + often[1:]).view(np.int64)))
-
-    return _index(docs, pick)
+        for batch in batches:
+            sets = [t for _, t in token_sets([batch])]
+            parts = np.array([parities(t) for t in sets], dtype=np.int64).reshape(len(sets), WORDS)
+            columns = [pa.array([node_of(t) for t in sets], pa.int64()), pa.array([len(t) for t in sets], pa.int64()), _lists(sets), *(pa.array(parts[:, i]) for i in range(WORDS))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "tokens", *words])
+
+    rows = join_versions(docs, wanted).select("doc_id", "text")
+    return rows.mapInArrow(run, "node long, n long, tokens array<long>, " + ", ".join(f"{w} long" for w in words))
+
+
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """(node, n, shared): the tokens of each set that others hold too, as (times, token), sorted. Nodes that share too few
+    of their tokens to be like any other are left out."""
+    tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
+    times = tokens.groupBy("token").agg(F.count("*").alias("times"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "times")
+    by_node = tokens.join(times, "token").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_set(F.struct("times", "token"))).alias("shared"))
+    return by_node.where(100 * F.size("shared") >= PERCENT * F.col("n"))
+
+
+def combinations(frequent: Column) -> Column:
+    """Hashes of the pairs of neighbours in the order of hashes, sorted."""
+    ordered = lambda f: F.transform(F.sequence(F.lit(0), F.size(f) - 2), lambda i: F.xxhash64(f[i], f[i + 1]))
+    return let(F.array_sort(frequent), lambda f: F.when(F.size(f) > 1, F.array_sort(ordered(f))).otherwise(F.array().cast("array<bigint>")))
+
+
+def index(sharing: DataFrame) -> DataFrame:
+    """(key, node, rank): rare tokens of the prefix singly, and combinations of frequent ones where the prefix reaches
+    them; rank is smallest for sets with few rare tokens for their size."""
+    n, none = F.col("n").cast("int"), F.array().cast("array<bigint>")
+    tokens = lambda c: F.transform(c, lambda x: x["token"])
+    rare = tokens(F.filter("shared", lambda x: x["times"] <= FREQUENT))
+    split = sharing.select("node", n.alias("n"), F.size("shared").alias("m"), rare.alias("rare"), tokens(F.filter("shared", lambda x: x["times"] > FREQUENT)).alias("often"))
+    prefix = F.floor(F.col("n") * (100 - PERCENT) / 100).cast("int") + 1  # slack(n) + 1
+    alone = F.col("n") - F.col("m")
+    rest = F.col("n") - F.size("often")  # rare ones, and those that no other set holds
+    singles = F.slice("rare", F.lit(1), F.greatest(F.lit(0), prefix - alone))
+    pairs = F.when(rest >= prefix, none).otherwise(combinations(F.col("often")))
+    most = 2 * F.size("often") - F.ceil(1.5 * F.col("n")).cast("int") + 1  # (f - 1) - (3/2 n - 1 - f) + 1
+    keys = split.select("node", (7 * rest - F.col("n")).alias("rank"), F.concat(singles, let(pairs, lambda c: F.slice(c, F.lit(1), F.greatest(F.lit(0), most)))).alias("keys"))
+    return keys.select(F.explode("keys").alias("key"), "node", "rank")
 
 
 def similar(a: Column, b: Column, na: Column, nb: Column) -> Column:
@@ -166,47 +174,61 @@ def similar(a: Column, b: Column, na: Column, nb: Column) -> Column:
     return 100 * both >= PERCENT * (na + nb - both)
 
 
-def close_in_size(na: Column, nb: Column) -> Column:
-    return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na)
+def possible(a: str, b: str) -> Column:
+    """What two similar sets meet: tokens that differ are at most 1/7 of both together, and so are parities that do."""
+    size = lambda x: F.col(f"{x}.n")
+    differ = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(1, WORDS)), F.bit_count(F.col(f"{a}.p0").bitwiseXOR(F.col(f"{b}.p0"))))
+    return ((100 + PERCENT) * differ <= (100 - PERCENT) * (size(a) + size(b))) & (100 * size(a) >= PERCENT * size(b)) & (100 * size(b) >= PERCENT * size(a))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar enough.
-
-    A quarter of the tokens, those of the smallest hashes, is compared first: what the two quarters share, and at most
-    the smaller of the two rests, must reach the overlap that similarity asks for. Most pairs that merely share a
-    passage go there, with a quarter of the bytes; the others are compared whole.
-    """
-
-    def joined(pairs: DataFrame, tokens: Column) -> DataFrame:
-        side = sets.select("node", "n", tokens.alias("t"))
-        return pairs.join(side.toDF("a", "na", "ta"), "a").join(side.toDF("b", "nb", "tb"), "b")
+    """Those of pairs (a, b) whose sets are similar enough."""
+    side = sets.select("node", "n", "tokens")
+    both = pairs.join(side.toDF("a", "na", "ta"), "a").join(side.toDF("b", "nb", "tb"), "b")
+    return both.where(similar(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
 
-    some = joined(pairs, F.filter("tokens", lambda t: t < QUARTER))
-    bound = F.size(F.array_intersect("ta", "tb")) + F.least(F.col("na") - F.size("ta"), F.col("nb") - F.size("tb"))
-    some = materialize(some.where(bound * (100 + PERCENT) >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "close-pairs")
-    return joined(some, F.col("tokens")).where(similar(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
 
+def _unordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, tokens) of the wanted (doc_id, node); more than once where rows are repeated, which adds no pairs."""
-
-    def run(batches):
-        for batch in batches:
-            expected = dict.fromkeys(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            rows = [(node, len(t), t) for d, t in token_sets([batch]) if (d, node := node_of(t)) in expected]
-            if rows:
-                k, n, t = zip(*rows, strict=True)
-                offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(t)))
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), tokens], names=["node", "n", "tokens"])
-
-    rows = documents(docs).join(wanted, "doc_id").select("doc_id", "text", "node")
-    return rows.mapInArrow(run, "node long, n long, tokens array<long>")
 
+def links(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes that connect all that similar pairs connect."""
+    reps = found.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("row"))
+    wanted = sociable(found).join(reps, "node").select("row.doc_id", "row.version")
+    sets = materialize(_sets(docs, wanted), "sets")
+    entries = materialize(index(shared_tokens(sets)), "index")
+    release(docs.sparkSession)
 
-def _unordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    hubs = entries.groupBy("key").agg(F.min(F.struct("rank", "node")).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    stars = materialize(entries.join(hubs, "key").select(F.col("hub.node").alias("hub"), "node").distinct(), "stars")
+    marks = sets.drop("tokens")
+    pairs = stars.where("hub <> node").join(marks.alias("x"), F.col("hub") == F.col("x.node")).join(marks.alias("y"), stars["node"] == F.col("y.node"))
+    pairs = pairs.where(possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    near = materialize(verified(pairs.select(*_unordered("a", "b")).distinct(), sets), "hub-links")
+    roots = materialize(components(near), "roots")
+
+    placed = stars.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("hub", "root").agg(F.count("*").alias("m")).groupBy("hub").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.sum("m").alias("members"), F.count("*").alias("roots")).where("roots > 1")
+    placed = materialize(placed.join(sizes, "hub").join(marks, "node").withColumn("slices", F.ceil(F.col("members") / SLICE).cast("int")), "split-hubs")
+    slice_ = F.when(F.col("slices") > 1, F.pmod(F.xxhash64("node"), F.col("slices"))).otherwise(0).cast("int")
+    one = placed.where("root <> main").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("x")
+    two = placed.withColumn("slice", slice_).alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+    rest = one.join(two, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.slice") == F.col("y.slice")) & apart & possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    rest = rest.select(*_unordered("a", "b")).distinct()
+    return near.union(materialize(verified(rest, sets), "rest-links"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """Per row of docs, as versions() gives them: doc_id, version, n, and the least (doc_id, version) of its group."""
+    found = materialize(nodes(docs), "nodes")
+    reps = found.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")).alias("row"))
+    labelled = reps.where("n > 0").join(components(links(docs, found)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = labelled.groupBy("root").agg(F.min("row").alias("least"))
+    by_node = labelled.join(smallest, "root").select("node", "least")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")
+    return found.join(by_node, "node", "left").select("doc_id", "version", "n", F.coalesce("least", own).alias("least"))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -214,46 +236,17 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     Null and empty texts and those without words have no shingles and link with nothing; texts of fewer than five words
     have one, all of their words. Rows are kept one for one; rows of one doc_id with different texts are texts of their
-    own that share an id. Extra columns are dropped.
+    own that share an id. A null doc_id links like any other; component_id is null where a group has no other ids. Extra
+    columns are dropped.
     """
-    docs = documents(docs)
-    by_doc = materialize(nodes(docs), "nodes")
-    reps = by_doc.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    token = Window.partitionBy("token")
-    entries = signatures(docs, frequent_tokens(docs)).withColumns({"low": F.min("node").over(token), "high": F.max("node").over(token)})
-    lists = materialize(entries.where("low < high").select("token", "node", "n").distinct(), "lists")
-    release(docs.sparkSession)
-    sets = materialize(_sets(docs, reps.join(lists.select("node").distinct(), "node").select("doc_id", "node")), "sets")
-
-    by_size = token.orderBy("n", "node")
-    chain = lists.select("node", "n", F.lead("node").over(by_size).alias("other"), F.lead("n").over(by_size).alias("other_n"))
-    chain = chain.where(F.col("other").isNotNull() & close_in_size(F.col("n"), F.col("other_n"))).select(*_unordered("node", "other")).distinct()
-    chain = materialize(chain, "chain")
-    links = materialize(verified(chain, sets), "chain-links")
-    roots = materialize(components(links), "roots")
-
-    placed = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = placed.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    split = materialize(placed.join(main, "token").select("token", "node", "n", "root", "main"), "split-lists")
-    other = split.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), F.col("main").alias("other_main"))
-    rest = split.where("root <> main").join(other, "token").where(F.col("root") != F.col("other_root"))
-    rest = rest.where(close_in_size(F.col("n"), F.col("other_n")) & ((F.col("other_root") == F.col("main")) | (F.col("node") < F.col("other"))))
-    rest = rest.select(*_unordered("node", "other")).distinct().join(chain, ["a", "b"], "left_anti")
-    links = links.union(materialize(verified(rest, sets), "rest-links"))
-
-    labelled = reps.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = labelled.join(smallest, "root").select("node", "component_id")
-    out = by_doc.join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return grouped(versions(docs)).select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their group; columns stay. Of rows that share that doc_id, one
-    stays if their texts are equal; rows of one doc_id with texts of different groups stay in each."""
-    groups = similar_groups(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One row of docs for each group, one of the smallest doc_id (null only if the group has no other); each text without
+    words is a group of its own, repeated rows of one doc_id are not. Columns stay, whatever their names."""
+    kept = grouped(versions(docs)).select("least.doc_id", "least.version").distinct()
+    return rows_of(docs, kept, "left_semi").dropDuplicates(["doc_id", "version"]).select("row.*")
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
