@@ -1,128 +1,163 @@
 """BPE encoding and decoding by content-defined chunk reuse.
 
-A text is cut at spaces where a rolling hash of what precedes says so. Equal chunks are equal wherever
-they stand, so a task encodes each once and reuses the result in every document that holds it. A cut could only
-change the result where the tokenizer looks across it, so joins are checked, once for each kind (the characters on
-both sides): the chunks are encoded together and compared with their ids side by side. Where the two differ, chunks
-are merged and encoded anew, one more at a time, until the next join agrees.
+A rolling hash over the bytes of a text cuts it: a chunk begins at a space where the hash of the WINDOW bytes before it is
+divisible by CUT_EVERY. Cuts depend on what stands beside them alone, so documents that share a passage share its
+chunks, and a task encodes each chunk once. A cut could only change the ids where the tokenizer looks across it, so each
+distinct join is checked: the words beside it are encoded together and apart. Where that differs, the two chunks are
+made one, encoded anew, and the next join is checked, until the ids agree.
+
+A chunk that is new is put together in the same way from its words, which a task encodes once too. Joins of words inside
+a chunk are checked once for each kind (two characters on both sides); a chunk with one that differs is encoded whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import _INVERSE, Bytes, byte_steps, documents, mix, powers, table
 
-#: A space is a cut if the CRC of the last WINDOW characters before it is divisible by this; 1 cuts at every space.
-CUT_EVERY = 1
-#: Characters under the rolling hash.
-WINDOW = 8
-#: Chunks whose ids a task keeps; beyond it the cache starts anew.
-CACHE_CHUNKS = 400_000
+#: A chunk begins at a space if the hash of what precedes it is divisible by this.
+CUT_EVERY = 32
+#: Bytes under the rolling hash.
+WINDOW = 16
+#: Chunks, and joins of them, that a task remembers, and words; beyond it the memory starts anew.
+CACHE_CHUNKS, CACHE_WORDS = 60_000, 400_000
+
+#: What is known of a piece of text: the number of its ids, their decimals, and their decoded texts.
+Known = tuple[int, str, str]
 
 
 class ChunkEncoder:
     """Encodes texts with one tokenizer; the ids are those of encoding each whole text."""
 
-    def __init__(self, path: str, cut_every: int = CUT_EVERY, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cut_every: int = CUT_EVERY, cache_chunks: int = CACHE_CHUNKS, window: int = WINDOW):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut_every, self.cache_chunks = cut_every, cache_chunks
-        #: chunk -> the number of its ids, their decimals, their decoded text
-        self.known: dict[str, tuple[int, str, str]] = {}
-        #: kinds of joins at which the ids side by side are those of both chunks together, and those at which not
-        self.agree: set[str] = set()
-        self.differ: set[str] = set()
+        self.cut_every, self.cache_chunks, self.window = cut_every, cache_chunks, window
+        self.chunk: dict[str, Known] = {}
+        self.word: dict[str, Known] = {}
+        #: whether the ids of two pieces side by side are those of both together: by the words beside a join of chunks,
+        #: and by kind inside chunks
+        self.agree: dict[tuple[str, str], bool] = {}
+        self.kinds: dict[tuple[str, str], bool] = {}
         self.tokens: dict[int, str] = {}
-        #: an added token stands between chunks that are encoded in one call: no chunk sees its neighbours across it
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.wall, self.wall_id = next(iter(self.added.items()), (None, None))
+        #: an added token stands between pieces that are encoded in one call: none sees its neighbours across it
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.wall, self.wall_id = next(iter(added.items()), (None, None))
         #: without a decoder, decoding puts tokens side by side, so that each can be decoded once
         self.by_token = self.tokenizer.decoder is None
         two = self.decode([0, 1])
         self.glue = two[len(self.decode([0])) : len(two) - len(self.decode([1]))]
 
-    def chunks(self, text: str) -> list[str]:
-        """The text in chunks; a cut takes away one space, which " ".join puts back."""
-        parts = text.split(" ")
-        if self.cut_every == 1:
-            return parts
-        out, held = [], parts[:1]
-        for part in parts[1:]:
-            if zlib.crc32(" ".join(held)[-WINDOW:].encode()) % self.cut_every == 0:
-                out.append(" ".join(held))
-                held = [part]
-            else:
-                held.append(part)
-        return [*out, " ".join(held)]
+    def chunks(self, b: Bytes) -> list[list[str]]:
+        """The chunks of each text; side by side they are the text."""
+        space = b.data == 32
+        at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        row = np.searchsorted(b.offsets, at, side="right") - 1
+        at = at[at - self.window >= b.offsets[row]]
+        h, inverse = b.prefix_hash(), powers(len(b.data) + 1, _INVERSE)
+        rolled = mix((h[at] - h[at - self.window]) * inverse[at - self.window])
+        at = at[rolled % np.uint64(self.cut_every) == 0]
+        data, out = b.data.tobytes(), []
+        for start, end in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True):
+            edges = [start, *at[np.searchsorted(at, start, side="right") : np.searchsorted(at, end)].tolist(), end]
+            out.append([data[i:j].decode() for i, j in zip(edges, edges[1:], strict=False)])
+        return out
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_apart(self, chunks: list[str]) -> list[list[int]]:
-        """The ids of each chunk on its own, many chunks a call."""
+        """The ids of each text on its own, many texts a call."""
+        whole = lambda part: [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         if self.wall is None:
-            return self._encode(chunks)
+            return whole(texts)
         out: list[list[int]] = []
-        for at in range(0, len(chunks), 500):
-            part = chunks[at : at + 500]
-            got: list[list[int]] = [[]]
-            for i in self._encode([self.wall.join(part)])[0]:
-                if i == self.wall_id:
-                    got.append([])
-                else:
-                    got[-1].append(i)
-            out += got if len(got) == len(part) else self._encode(part)  # a chunk holds the added token itself
+        for at in range(0, len(texts), 500):
+            part = texts[at : at + 500]
+            ids = whole([self.wall.join(part)])[0]
+            walls = np.flatnonzero(np.array(ids) == self.wall_id).tolist()
+            if len(walls) != len(part) - 1:  # a text holds the added token itself
+                out += whole(part)
+            else:
+                out += [ids[i:j] for i, j in zip([0, *(w + 1 for w in walls)], [*walls, len(ids)], strict=True)]
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encode and decode, once, the chunks that aren't known yet."""
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.cache_chunks:
-            self.known.clear()
-            new = list(chunks)
-        for c, ids in zip(new, self._encode_apart(new), strict=True):
-            self.known[c] = (len(ids), " ".join(map(str, ids)), self.decode_ids(ids))
-
-    def join(self, chunks: list[str]) -> list[tuple[int, str, str]]:
-        """The results of a text's chunks in order. Where a join doesn't agree, the chunks around it are encoded anew
-        as one, and one more at a time until the next join agrees."""
-        kinds = {a[-1:] + " " + b[:1] for a, b in zip(chunks, chunks[1:], strict=False)}
-        if not kinds <= self.agree:
-            for a, b in zip(chunks, chunks[1:], strict=False):
-                if (kind := a[-1:] + " " + b[:1]) not in self.agree and kind not in self.differ:
-                    x, y, both = self._encode([a, b, a + " " + b])
-                    (self.agree if x + y == both else self.differ).add(kind)
-            if kinds & self.differ:
-                return self._repaired(chunks)
-        return [self.known[c] for c in chunks]
-
-    def _repaired(self, chunks: list[str]) -> list[tuple[int, str, str]]:
-        out, at = [], 0
-        while at < len(chunks):
-            to = at + 1
-            while to < len(chunks) and chunks[to - 1][-1:] + " " + chunks[to][:1] in self.differ:
-                to += 1
-            ids = self._encode([" ".join(chunks[at:to])])[0]
-            out.append((len(ids), " ".join(map(str, ids)), self.decode_ids(ids)))
-            at = to
-        return out
+    def _known(self, texts: list[str]) -> list[Known]:
+        return [(len(ids), " ".join(map(str, ids)), self.decode_ids(ids) if self.by_token else "") for ids in self._encode(texts)]
+
+    def _check(self, joins: dict[tuple[str, str], tuple[str, str]], into: dict[tuple[str, str], bool]) -> None:
+        """For each key of two pieces: whether their ids side by side are those of both together."""
+        parts = list(joins.values())
+        one, two, both = self._encode([a for a, _ in parts]), self._encode([b for _, b in parts]), self._encode([a + b for a, b in parts])
+        into.update(zip(joins, (x + y == z for x, y, z in zip(one, two, both, strict=True)), strict=True))
+
+    @staticmethod
+    def pieces(chunk: str) -> list[str]:
+        """The words of a chunk, each with the space before it."""
+        first, *rest = chunk.split(" ")
+        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+
+    @staticmethod
+    def beside(a: str, b: str) -> tuple[str, str]:
+        """The last word before a join and the first after it, with the spaces before them."""
+        end = b.find(" ", 1)
+        return a[max(0, a.rfind(" ")) :], b if end < 0 else b[:end]
+
+    def joined(self, known: list[Known]) -> Known:
+        full = [k for k in known if k[0]]
+        return sum([k[0] for k in full]), " ".join([k[1] for k in full]), self.glue.join([k[2] for k in full]) if self.by_token else ""
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode, once, the chunks that aren't known yet, and check the joins that aren't."""
+        for cache, most in ((self.chunk, self.cache_chunks), (self.agree, self.cache_chunks), (self.word, CACHE_WORDS), (self.kinds, CACHE_WORDS)):
+            if len(cache) > most:
+                cache.clear()
+        pairs = {self.beside(a, b) for chunks in texts for a, b in zip(chunks, chunks[1:], strict=False)}
+        self._check({p: p for p in pairs if p not in self.agree}, self.agree)
+        new = {c: self.pieces(c) for c in {c for chunks in texts for c in chunks} if c not in self.chunk}
+        kinds, asked = {}, {}
+        for c, pieces in new.items():
+            kinds[c] = {(a[-2:], b[:3]): (a, b) for a, b in zip(pieces, pieces[1:], strict=False)}
+            asked.update((k, p) for k, p in kinds[c].items() if k not in self.kinds)
+        self._check(asked, self.kinds)
+        words = list({w for pieces in new.values() for w in pieces if w not in self.word})
+        self.word.update(zip(words, self._known(words), strict=True))
+        whole = [c for c in new if not all(map(self.kinds.__getitem__, kinds[c]))]
+        self.chunk.update(zip(whole, self._known(whole), strict=True))
+        self.chunk.update((c, self.joined([self.word[w] for w in pieces])) for c, pieces in new.items() if c not in self.chunk)
+
+    def join(self, chunks: list[str]) -> Known:
+        """What is known of a text from its chunks, all of them learned."""
+        done: list[Known] = []
+        last = ""
+        for chunk in chunks:
+            if done and not self.agree[self.beside(last, chunk)]:
+                last += chunk
+                done[-1] = self._known([last])[0]
+            else:
+                last = chunk
+                done.append(self.chunk[chunk])
+        return self.joined(done)
+
+    def encode_all(self, b: Bytes) -> list[Known]:
+        """What is known of each text: the number of its ids, their decimals and their decoded text."""
+        texts = self.chunks(b)
+        self.learn(texts)
+        found = [self.join(chunks) for chunks in texts]
+        return found if self.by_token else [(n, said, self.decode([int(i) for i in said.split()])) for n, said, _ in found]
 
     def encode(self, text: str) -> list[int]:
         """The ids of one text."""
-        chunks = self.chunks(text)
-        self.learn(set(chunks))
-        return [int(i) for _, said, _ in self.join(chunks) for i in said.split()]
+        data = np.frombuffer(text.encode(), np.uint8)
+        return [int(i) for i in self.encode_all(Bytes(pa.array([0]), data, np.array([0, len(data)])))[0][1].split()]
 
     def decode(self, ids: list[int]) -> str:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
@@ -136,19 +171,12 @@ class ChunkEncoder:
                 self.tokens[i] = self.decode([i])
         return self.glue.join([self.tokens[i] for i in ids])
 
-    def digest(self, chunks: list[str]) -> tuple[int, str, str, str, str]:
-        """Number of ids, digests of their decimals and of the decoded text, and both themselves."""
-        found = [x for x in self.join(chunks) if x[0]]
-        n, said = sum([x[0] for x in found]), " ".join([x[1] for x in found])
-        decoded = self.glue.join([x[2] for x in found]) if self.by_token else self.decode([int(i) for i in said.split()])
-        return n, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), said, decoded
-
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if kept, ids (array<int>) and decoded (string).
 
     Null texts count as empty; an empty text has no tokens and decodes to an empty text. Equal texts get equal ids.
-    Rows are kept one for one, repeated doc_ids too. No shuffle: each task encodes the distinct chunks of its batch.
+    Rows are kept one for one, repeated and null doc_ids too. No shuffle: each task encodes the distinct chunks it meets.
     """
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     fields += [("ids", pa.list_(pa.int32()))] * keep_ids + [("decoded", pa.string())] * keep_text
@@ -157,20 +185,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         coder = ChunkEncoder(tokenizer_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                cut = [coder.chunks(t) for t in texts]
-                coder.learn(set().union(*cut))
-                rows: list[tuple] = []
-                for chunks in cut:
-                    rows.append(coder.digest(chunks))
-                n, a, b, said, decoded = zip(*rows, strict=True)
-                ids = [[int(i) for i in x.split()] for x in said] if keep_ids else []
-                out = [part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)]
-                out += [pa.array(ids, pa.list_(pa.int32()))] * keep_ids + [pa.array(decoded)] * keep_text
-                yield pa.RecordBatch.from_arrays(out, schema=schema)
+        for b in byte_steps(batches):
+            n, said, decoded = zip(*coder.encode_all(b), strict=True)
+            ids = [[int(i) for i in x.split()] for x in said] if keep_ids else []
+            sha = lambda texts: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])
+            out = [b.ids, pa.array(n, pa.int64()), sha(said), sha(decoded)]
+            out += [pa.array(ids, pa.list_(pa.int32()))] * keep_ids + [pa.array(decoded)] * keep_text
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
 
     sql = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
     return documents(docs).mapInArrow(run, sql)

@@ -114,12 +114,13 @@ def nodes(docs: DataFrame) -> DataFrame:
 
 
 def sociable(found: DataFrame) -> DataFrame:
-    """Nodes (node, n) that share enough tokens of their extended prefixes with other nodes."""
-    entries = found.select("node", "n", F.explode("prefix").alias("token"))
+    """Nodes that share enough tokens of their extended prefixes with other nodes: (doc_id, version) of a text of each."""
+    entries = found.select("node", F.explode("prefix").alias("token"))
     shared = entries.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token")
-    hits = entries.join(shared, "token", "left_semi").distinct().groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("hits"))
+    hits = entries.join(shared, "token", "left_semi").distinct().groupBy("node").agg(F.count("*").alias("hits"))
+    reps = found.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "version")).alias("row"))
     least = F.ceil((F.col("n") - F.floor(F.col("n") * (100 - PERCENT) / 100)) / EXTEND)  # shared_at_least(n)
-    return hits.where(F.col("hits") >= least).select("node", "n")
+    return hits.join(reps, "node").where(F.col("hits") >= least).select("row.doc_id", "row.version")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,9 +195,7 @@ def _unordered(a: str, b: str) -> list[Column]:
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that connect all that similar pairs connect."""
-    reps = found.groupBy("node").agg(F.min(F.struct("doc_id", "version")).alias("row"))
-    wanted = sociable(found).join(reps, "node").select("row.doc_id", "row.version")
-    sets = materialize(_sets(docs, wanted), "sets")
+    sets = materialize(_sets(docs, materialize(sociable(found), "sociable")), "sets")
     entries = materialize(index(shared_tokens(sets)), "index")
     release(docs.sparkSession)
 
