@@ -2,16 +2,18 @@
 
 A rolling hash over the bytes of a text cuts it: a chunk begins at a space where the hash of the WINDOW bytes before it is
 divisible by CUT_EVERY. Cuts depend on what stands beside them alone, so documents that share a passage share its
-chunks, and a task encodes each chunk once. A cut could only change the ids where the tokenizer looks across it, so each
+chunks, and a worker encodes each chunk once. A cut could only change the ids where the tokenizer looks across it, so each
 distinct join is checked: the words beside it are encoded together and apart. Where that differs, the two chunks are
 made one, encoded anew, and the next join is checked, until the ids agree.
 
-A chunk that is new is put together in the same way from its words, which a task encodes once too. Joins of words inside
+A chunk that is new is put together in the same way from its words, which it encodes once too. Joins of words inside
 a chunk are checked once for each kind (two characters on both sides); a chunk with one that differs is encoded whole.
 """
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 import os
 from collections.abc import Iterator
@@ -24,11 +26,11 @@ from pyspark.sql import functions as F
 from .common import _INVERSE, Bytes, byte_steps, documents, mix, powers, table
 
 #: A chunk begins at a space if the hash of what precedes it is divisible by this.
-CUT_EVERY = 32
+CUT_EVERY = 64
 #: Bytes under the rolling hash.
 WINDOW = 16
-#: Chunks, and joins of them, that a task remembers, and words; beyond it the memory starts anew.
-CACHE_CHUNKS, CACHE_WORDS = 60_000, 400_000
+#: Chunks, and joins of them, that a Python worker remembers, and words; beyond it the memory starts anew.
+CACHE_CHUNKS, CACHE_WORDS = 60_000, 700_000
 
 #: What is known of a piece of text: the number of its ids, their decimals, and their decoded texts.
 Known = tuple[int, str, str]
@@ -45,11 +47,14 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.cut_every, self.cache_chunks, self.window = cut_every, cache_chunks, window
         self.chunk: dict[str, Known] = {}
+        #: words with a space before them (the key is without it), and words that begin a text
         self.word: dict[str, Known] = {}
-        #: whether the ids of two pieces side by side are those of both together: by the words beside a join of chunks,
-        #: and by kind inside chunks
-        self.agree: dict[tuple[str, str], bool] = {}
-        self.kinds: dict[tuple[str, str], bool] = {}
+        self.first: dict[str, Known] = {}
+        #: whether the ids of two chunks side by side are those of both together, by the words beside the join
+        self.agree: dict[str, bool] = {}
+        #: kinds of joins inside chunks at which that is so, and those at which not
+        self.sound: set[str] = set()
+        self.unsound: set[str] = set()
         self.tokens: dict[int, str] = {}
         #: an added token stands between pieces that are encoded in one call: none sees its neighbours across it
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
@@ -93,23 +98,17 @@ class ChunkEncoder:
     def _known(self, texts: list[str]) -> list[Known]:
         return [(len(ids), " ".join(map(str, ids)), self.decode_ids(ids) if self.by_token else "") for ids in self._encode(texts)]
 
-    def _check(self, joins: dict[tuple[str, str], tuple[str, str]], into: dict[tuple[str, str], bool]) -> None:
-        """For each key of two pieces: whether their ids side by side are those of both together."""
-        parts = list(joins.values())
-        one, two, both = self._encode([a for a, _ in parts]), self._encode([b for _, b in parts]), self._encode([a + b for a, b in parts])
-        into.update(zip(joins, (x + y == z for x, y, z in zip(one, two, both, strict=True)), strict=True))
+    def _agree(self, pairs: list[tuple[str, str]]) -> list[bool]:
+        """For each two known pieces: whether their ids side by side are those of both together."""
+        of = lambda piece: (self.word[piece[1:]] if piece[:1] == " " else self.first[piece])[1]
+        both = self._encode([a + b for a, b in pairs])
+        return [" ".join(filter(None, (of(a), of(b)))) == " ".join(map(str, x)) for (a, b), x in zip(pairs, both, strict=True)]
 
     @staticmethod
-    def pieces(chunk: str) -> list[str]:
-        """The words of a chunk, each with the space before it."""
-        first, *rest = chunk.split(" ")
-        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
-
-    @staticmethod
-    def beside(a: str, b: str) -> tuple[str, str]:
+    def beside(a: str, b: str) -> str:
         """The last word before a join and the first after it, with the spaces before them."""
         end = b.find(" ", 1)
-        return a[max(0, a.rfind(" ")) :], b if end < 0 else b[:end]
+        return a[max(0, a.rfind(" ")) :] + (b if end < 0 else b[:end])
 
     def joined(self, known: list[Known]) -> Known:
         full = [k for k in known if k[0]]
@@ -117,22 +116,37 @@ class ChunkEncoder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode, once, the chunks that aren't known yet, and check the joins that aren't."""
-        for cache, most in ((self.chunk, self.cache_chunks), (self.agree, self.cache_chunks), (self.word, CACHE_WORDS), (self.kinds, CACHE_WORDS)):
+        for cache, most in ((self.chunk, self.cache_chunks), (self.agree, self.cache_chunks), (self.word, CACHE_WORDS), (self.first, CACHE_WORDS), (self.sound, CACHE_WORDS), (self.unsound, CACHE_WORDS)):
             if len(cache) > most:
                 cache.clear()
-        pairs = {self.beside(a, b) for chunks in texts for a, b in zip(chunks, chunks[1:], strict=False)}
-        self._check({p: p for p in pairs if p not in self.agree}, self.agree)
-        new = {c: self.pieces(c) for c in {c for chunks in texts for c in chunks} if c not in self.chunk}
-        kinds, asked = {}, {}
-        for c, pieces in new.items():
-            kinds[c] = {(a[-2:], b[:3]): (a, b) for a, b in zip(pieces, pieces[1:], strict=False)}
-            asked.update((k, p) for k, p in kinds[c].items() if k not in self.kinds)
-        self._check(asked, self.kinds)
-        words = list({w for pieces in new.values() for w in pieces if w not in self.word})
-        self.word.update(zip(words, self._known(words), strict=True))
-        whole = [c for c in new if not all(map(self.kinds.__getitem__, kinds[c]))]
+        new = {c: c.split(" ") for c in set().union(*texts) - self.chunk.keys()}
+        joins = {self.beside(a, b) for chunks in texts for a, b in zip(chunks, chunks[1:], strict=False)}
+        parted = {j: (j[: j.rfind(" ")], j[j.rfind(" ") :]) for j in joins if j not in self.agree}
+        beside = [w for pair in parted.values() for w in pair]
+        words = [w for w in set().union(*(p[1:] for p in new.values()), (w[1:] for w in beside if w[0] == " ")) if w not in self.word]
+        self.word.update(zip(words, self._known([" " + w for w in words]), strict=True))
+        first = [w for w in {*(p[0] for p in new.values() if p[0]), *(w for w in beside if w[0] != " ")} if w not in self.first]
+        self.first.update(zip(first, self._known(first), strict=True))
+        self.agree.update(zip(parted, self._agree(list(parted.values())), strict=True))
+
+        kinds = {c: {a[-2:] + " " + b[:2] for a, b in zip(p, p[1:], strict=False)} if p[0] else {a[-2:] + " " + b[:2] for a, b in zip(p[1:], p[2:], strict=False)} for c, p in new.items()}
+        open_ = {k for k in set().union(*kinds.values()) if k not in self.sound and k not in self.unsound}
+        asked: dict[str, tuple[str, str]] = {}  # kinds that stand for the first time, with the words where they do
+        for c, p in new.items():
+            if here := kinds[c] & open_:
+                open_ -= here
+                for i in range(0 if p[0] else 1, len(p) - 1):
+                    if (k := p[i][-2:] + " " + p[i + 1][:2]) in here:
+                        asked[k] = ((" " if i else "") + p[i], " " + p[i + 1])
+        for k, fits in zip(asked, self._agree(list(asked.values())), strict=True):
+            (self.sound if fits else self.unsound).add(k)
+        whole = [c for c in new if not kinds[c] <= self.sound]
         self.chunk.update(zip(whole, self._known(whole), strict=True))
-        self.chunk.update((c, self.joined([self.word[w] for w in pieces])) for c, pieces in new.items() if c not in self.chunk)
+        word = self.word
+        for c, p in new.items():
+            if c not in self.chunk:
+                parts = [word[w] for w in p[1:]]
+                self.chunk[c] = self.joined([self.first[p[0]], *parts] if p[0] else parts)
 
     def join(self, chunks: list[str]) -> Known:
         """What is known of a text from its chunks, all of them learned."""
@@ -172,11 +186,17 @@ class ChunkEncoder:
         return self.glue.join([self.tokens[i] for i in ids])
 
 
+@functools.cache
+def worker_encoder(path: str) -> ChunkEncoder:
+    """One encoder for the tasks that a worker runs one after the other: what it remembers changes no result."""
+    return ChunkEncoder(path)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if kept, ids (array<int>) and decoded (string).
 
     Null texts count as empty; an empty text has no tokens and decodes to an empty text. Equal texts get equal ids.
-    Rows are kept one for one, repeated and null doc_ids too. No shuffle: each task encodes the distinct chunks it meets.
+    Rows are kept one for one, repeated and null doc_ids too. No shuffle: each worker encodes the distinct chunks it meets.
     """
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     fields += [("ids", pa.list_(pa.int32()))] * keep_ids + [("decoded", pa.string())] * keep_text
@@ -184,7 +204,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        coder = ChunkEncoder(tokenizer_path)
+        coder = worker_encoder(tokenizer_path)
+        gc.freeze()  # what is remembered holds no cycles
         for b in byte_steps(batches):
             n, said, decoded = zip(*coder.encode_all(b), strict=True)
             ids = [[int(i) for i in x.split()] for x in said] if keep_ids else []
