@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, rows_of, table, versions
 from .spans import let
 
 SHINGLE = 5
@@ -65,56 +65,51 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def _of(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, version, item_id, similarity, first_shingle): the most similar window of each document and item that
     have one of at least PERCENT; version is xxhash64 of the text, which tells rows of one doc_id apart.
 
     Null and empty texts and items match nothing; of fewer than five words all are one shingle, so such an item matches
     only a text of exactly its words. A text shorter than an item is one window. Repeated rows give one result, repeated
-    items one each; other columns are dropped.
+    items one each; a null doc_id or item_id is one like any other; other columns are dropped.
     """
-    docs = _of(docs)
+    row = ["id", "no_id", "version"]  # ids without nulls, which joins would lose
+    docs = versions(docs).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "version", "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), shingles(F.coalesce(F.col("text"), F.lit(""))).alias("item")).where(F.size("item") > 0)
-    items = materialize(items.withColumn("size", F.size("item")), "items")
+    items = items.groupBy("item").agg(F.collect_set(F.struct("item_id")).alias("item_ids")).select(F.xxhash64("item").alias("item_key"), "item", "item_ids", F.size("item").alias("size"))
+    items = materialize(items, "items")
     wanted = items.select("size", F.explode("item").alias("h")).groupBy("h").agg(F.collect_set("size").alias("sizes"))
     if wanted.count() <= BROADCAST_SHINGLES:
         wanted = F.broadcast(wanted)
 
-    hits = docs.select("doc_id", "version", shingles(F.col("text")).alias("all")).select("doc_id", "version", F.size("all").alias("n"), F.posexplode("all").alias("at", "h"))
-    hits = hits.join(wanted, "h").select("doc_id", "version", "n", "at", F.explode("sizes").alias("size"))
-    places = hits.groupBy("doc_id", "version", "n", "size").agg(F.array_sort(F.collect_set("at")).alias("at"))  # a text's own
+    hits = docs.select(*row, shingles(F.col("text")).alias("all")).select(*row, F.size("all").alias("n"), F.posexplode("all").alias("at", "h"))
+    hits = hits.join(wanted, "h").select(*row, "n", "at", F.explode("sizes").alias("size"))
+    places = hits.groupBy(*row, "n", "size").agg(F.array_sort(F.collect_set("at")).alias("at"))  # a text's own
     need = _need(F.least("n", "size"), F.col("size"))
     dense = F.filter(F.transform("at", lambda p, i: F.when(F.get("at", i + need - 1) < p + F.col("size"), F.least(p, F.greatest(F.col("n") - F.col("size"), F.lit(0))))), lambda s: s.isNotNull())
-    dense = places.select("doc_id", "version", "size", F.array_distinct(dense).alias("starts")).where(F.size("starts") > 0)
-    dense = materialize(dense.groupBy("doc_id", "version").agg(F.collect_list(F.struct("size", "starts")).alias("wanted")), "windows")
+    dense = places.select(*row, "size", F.array_distinct(dense).alias("starts")).where(F.size("starts") > 0)
+    dense = materialize(dense.groupBy(*row).agg(F.collect_list(F.struct("size", "starts")).alias("wanted")), "windows")
 
-    held = docs.join(dense, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
-    held = held.select("doc_id", "version", shingles(F.col("text")).alias("all"), F.explode("wanted").alias("w")).select("doc_id", "version", "all", "w.size", F.explode("w.starts").alias("start"))
-    windows = materialize(held.select("doc_id", "version", "size", "start", F.slice("all", F.col("start") + 1, F.col("size")).alias("window")), "window-shingles")
+    held = docs.join(dense, row).dropDuplicates(row)
+    held = held.select(*row, shingles(F.col("text")).alias("all"), F.explode("wanted").alias("w")).select(*row, "all", "w.size", F.explode("w.starts").alias("start"))
+    windows = materialize(held.select(*row, "size", "start", F.slice("all", F.col("start") + 1, F.col("size")).alias("window")), "window-shingles")
 
-    key = ["doc_id", "version", "size", "start"]
+    key = [*row, "size", "start"]
     of_window = windows.select(*key, F.explode("window").alias("h")).groupBy(*key).agg(fingerprint().alias("print")).select(*key, "print", F.explode(blocks(F.col("print"), radius)).alias("b"))
-    of_item = items.select("item_id", "size", F.explode("item").alias("h")).groupBy("item_id", "size").agg(fingerprint().alias("item_print"))
-    of_item = of_item.select("item_id", "size", "item_print", F.explode(blocks(F.col("item_print"), radius)).alias("b")).select("item_id", "size", "item_print", "b.block", "b.value")
+    of_item = items.select("item_key", "size", F.explode("item").alias("h")).groupBy("item_key", "size").agg(fingerprint().alias("item_print"))
+    of_item = of_item.select("item_key", "size", "item_print", F.explode(blocks(F.col("item_print"), radius)).alias("b")).select("item_key", "size", "item_print", "b.block", "b.value")
     pairs = of_window.select(*key, "print", "b.block", "b.value").join(of_item, ["size", "block", "value"])
-    pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).select(*key, "item_id").distinct()
+    pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).select(*key, "item_key").distinct()
 
-    checked = pairs.join(windows, key).join(items.drop("size"), "item_id").select(*key, "item_id", weighted_similarity(F.col("window"), F.col("item")).alias("similarity"))
+    checked = pairs.join(windows, key).join(items.drop("size"), "item_key").select(*key, "item_key", "item_ids", weighted_similarity(F.col("window"), F.col("item")).alias("similarity"))
     best = F.max_by(F.struct("similarity", "start"), F.struct("similarity", -F.col("start")))
-    found = checked.where(F.col("similarity") * 100 >= PERCENT - 1e-9).groupBy("doc_id", "version", "item_id").agg(best.alias("best"))
-    return found.select("doc_id", "version", "item_id", "best.similarity", F.col("best.start").alias("first_shingle"))
+    found = checked.where(F.col("similarity") * 100 >= PERCENT - 1e-9).groupBy(*row, "item_key").agg(best.alias("best"), F.first("item_ids").alias("item_ids"))
+    return found.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "version", F.explode("item_ids.item_id").alias("item_id"), "best.similarity", F.col("best.start").alias("first_shingle"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a passage of the benchmark; all columns stay."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("bad_id"), F.col("version").alias("bad_version")).distinct()
-    same = (docs["doc_id"] == F.col("bad_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("bad_version"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of docs without a passage of the benchmark; all columns stay, whatever their names."""
+    return rows_of(docs, leaks(docs, benchmark).select("doc_id", "version").distinct(), "left_anti").select("row.*")
 
 
 def op2_leaks(spark, sf_dir: str) -> DataFrame:

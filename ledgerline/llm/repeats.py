@@ -1,13 +1,13 @@
 """Removal of repeated byte strings: every byte under a string of LENGTH bytes that also starts elsewhere.
 
-The dealt method is external induced sorting of suffixes. Sorting all suffixes can't meet the limits here (README), so
-this keeps its plan - sort a sample of suffixes that their content chooses, and induce the rest from them, level by
-level, with common-prefix values - but sorts by hashed names in Spark's shuffle, which spills to disk:
+The dealt method, external induced sorting of all suffixes, can't meet the limits here (figures in the README). This
+does not sort suffixes and carries no common-prefix values; it groups hashed names of strings in Spark's shuffle, which
+spills to disk:
 
 1. In each string of LENGTH bytes the smallest hashed GRAM marks its anchor. Equal strings have equal anchors at equal
    offsets, so only strings with the same anchor name can be equal; about one byte in 170 is an anchor.
 2. Anchors of equal name whose whole contexts are equal settle all strings around them at once.
-3. What differs is induced in two levels: chunks of CHUNK neighbouring strings (equal as a whole: all repeat; nothing
+3. What differs is settled in two levels: chunks of CHUNK neighbouring strings (equal as a whole: all repeat; nothing
    that all share repeated: none does), then the single strings of chunks that are neither.
 
 Names are 64-bit hashes of the bytes. Every step groups by name with counts combined before the shuffle, so a passage
@@ -20,12 +20,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, Bytes, byte_steps, materialize, mix, powers, release, table
+from .common import _INVERSE, Bytes, byte_steps, join_versions, materialize, mix, powers, release, table, versions
 
 LENGTH = 400
+#: Strings of so many bytes (40 to 50 words) that stand elsewhere are reported, but not removed.
+PASSAGE = 256
 GRAM = 64
 CHUNK = 16
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -67,14 +69,9 @@ def anchor_arrays(b: Bytes, length: int, gram: int):
     return row, g[anchor], anchor, low, high, context
 
 
-def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(v).view(np.int64) if np.asarray(v).dtype == np.uint64 else np.asarray(v)) for v in columns.values()], names=list(columns))
-
-
-def _of(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text, which tells rows of one doc_id apart."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("version"))
+def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    as_arrow = lambda v: v if isinstance(v, pa.Array) else pa.array(v.view(np.int64) if v.dtype == np.uint64 else v)
+    return pa.RecordBatch.from_arrays([as_arrow(v) for v in columns.values()], names=list(columns))
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -87,7 +84,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 if (found := anchor_arrays(b, length, gram)) is not None:
                     row, name, anchor, low, high, context = found
                     zero = b.offsets[row]
-                    yield _batch({"doc_id": b.ids[row], "version": version[at + row], "name": name, "anchor": anchor - zero, "low": low - zero, "high": high - zero, "context": context})
+                    yield _batch({"doc_id": b.ids.take(pa.array(row)), "version": version[at + row], "name": name, "anchor": anchor - zero, "low": low - zero, "high": high - zero, "context": context})
                 at += len(b.ids)
 
     return docs.mapInArrow(run, "doc_id long, version long, name long, anchor long, low long, high long, context long")
@@ -109,22 +106,22 @@ def _described(held: DataFrame, wanted: DataFrame, columns: list[str], describe,
                 if len(row):
                     out = describe(Names(b), b.offsets[row], fields)
                     which = out.pop("which")
-                    yield _batch({"doc_id": b.ids[row[which]], "version": batch.column(2).to_numpy()[at + row[which]], **out})
+                    yield _batch({"doc_id": b.ids.take(pa.array(row[which])), "version": batch.column(2).to_numpy()[at + row[which]], **out})
                 at += len(b.ids)
 
-    rows = held.join(lists, ["doc_id", "version"]).select("doc_id", "text", "version", "wanted")
+    rows = join_versions(held, lists).select("doc_id", "text", "version", "wanted")
     return rows.mapInArrow(run, "doc_id long, version long, " + schema)
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """Ranges of bytes to remove (doc_id, version, start, end), overlapping ones too, and a table of (doc_id, text,
-    version) that holds at least the documents of the ranges. docs: as _of() gives them."""
+    """Ranges of repeated bytes by document (doc_id, version, ranges), overlapping ones too, and a table of (doc_id, text,
+    version) that holds at least the documents of the ranges. docs: as versions() gives them."""
     found = materialize(anchors(docs, length, gram), "anchors")
     contexts = found.groupBy("name", "context").agg(F.count("*").alias("n"))
     by_name = contexts.groupBy("name").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
     contexts = contexts.join(by_name, "name").where("n > 1 or kinds > 1")
     some = materialize(found.join(contexts, ["name", "context"]), "repeated-anchors")
-    held = materialize(docs.join(some.select("doc_id", "version").distinct(), ["doc_id", "version"], "left_semi").select("doc_id", "text", "version"), "held-texts")
+    held = materialize(join_versions(docs.select("doc_id", "text", "version"), some.select("doc_id", "version").distinct(), "left_semi"), "held-texts")
     release(docs.sparkSession, found)
 
     ranges = [some.where("n > 1").select("doc_id", "version", F.col("low").alias("start"), (F.col("high") + length).alias("end"))]
@@ -168,7 +165,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chu
     single = materialize(_described(held, wanted, ["name", "anchor", "low", "high", "ask"], singles, "start long, text_name long, ask long"), "strings")
     twice = single.groupBy("text_name").agg(F.count("*").alias("n")).where("n > 1").select("text_name")
     ranges.append(single.where("ask = 1").join(twice, "text_name", "left_semi").select("doc_id", "version", "start", (F.col("start") + length).alias("end")))
-    return ranges[0].unionByName(ranges[1]).unionByName(ranges[2]), held
+    every = ranges[0].unionByName(ranges[1]).unionByName(ranges[2])
+    listed = materialize(every.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges")), "ranges")
+    release(docs.sparkSession, some, cut, single)
+    return listed, held
 
 
 def kept_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
@@ -180,19 +180,30 @@ def kept_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return ~gone, int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def covered(ranges: Column) -> Column:
+    """Bytes under sorted ranges (start, end) that may overlap."""
+    zero = F.lit(0).cast("long")
+    new = lambda a, r: F.greatest(zero, r["end"] - F.greatest(a["to"], r["start"]))
+    step = lambda a, r: F.struct((a["sum"] + new(a, r)).alias("sum"), F.greatest(a["to"], r["end"]).alias("to"))
+    return F.aggregate(ranges, F.struct(zero.alias("sum"), zero.alias("to")), step, lambda a: a["sum"])
+
+
+_RESULT = "doc_id long, version long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk: int = CHUNK, passage: int = PASSAGE) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and n_passage: bytes under strings of `passage`
+    bytes that also start elsewhere, removed or not.
 
     Null texts count as empty; texts shorter than `length` keep all. Rows are kept one for one, and rows with equal
-    texts repeat each other, those of one doc_id too. Other columns are dropped. Bytes are those of UTF-8, and what
-    stays need not be valid UTF-8.
+    texts repeat each other, those of one doc_id or of none too. Other columns are dropped. Bytes are those of UTF-8, and
+    what stays need not be valid UTF-8.
     """
-    docs = _of(docs)
+    docs = versions(docs)
+    passages, held = repeated_ranges(docs, passage, gram, chunk)
+    passages = materialize(passages.select("doc_id", "version", covered(F.col("ranges")).alias("n_passage")), "passages")
+    release(docs.sparkSession, held)
     ranges, held = repeated_ranges(docs, length, gram, chunk)
-    ranges = materialize(ranges.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
 
     def run(batches):
         for batch in batches:
@@ -201,15 +212,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
                 for i in range(len(b.ids)):
                     data, spans = b.data[b.offsets[i] : b.offsets[i + 1]], batch.column(3)[at + i].values
                     stay, runs = kept_bytes(data, spans.field("start").to_numpy(), spans.field("end").to_numpy())
-                    rows.append((int(b.ids[i]), len(data), int(len(data) - stay.sum()), runs, hashlib.sha256(data[stay].tobytes()).hexdigest()))
+                    rows.append((batch.column(0)[at + i].as_py(), batch.column(2)[at + i].as_py(), len(data), int(len(data) - stay.sum()), runs, hashlib.sha256(data[stay].tobytes()).hexdigest()))
                 at += len(b.ids)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                names = ["doc_id", "version", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-    changed = held.select("doc_id", "text", "version").join(ranges, ["doc_id", "version"]).select("doc_id", "text", "version", "ranges").mapInArrow(run, _RESULT)
+    changed = join_versions(held, ranges).select("doc_id", "text", "version", "ranges").mapInArrow(run, _RESULT)
     zero = F.lit(0).cast("long")
     whole = docs.select("doc_id", "version", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    return changed.unionByName(whole.join(ranges, ["doc_id", "version"], "left_anti").drop("version"))
+    every = changed.unionByName(join_versions(whole, ranges.select("doc_id", "version"), "left_anti"))
+    return join_versions(every, passages, "left").withColumn("n_passage", F.coalesce("n_passage", zero)).drop("version")
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Secret scans by a trigram inverted index, in SQL functions alone.
 
-Each rule's regular expression gives a Boolean query: trigrams that every match must hold. Postings (trigram, doc_id)
-are kept for the trigrams that the rules ask for; intersecting them gives the documents that a rule could match, and
-only those are verified with the expression itself. Rules without mandatory trigrams scan every text.
+Each rule's regular expression gives a Boolean query: trigrams that every match must hold. Postings (trigram, document)
+are kept for the trigrams that the rules ask for; where all postings of one of a rule's sets of trigrams meet, a document
+could match, and only such documents are verified with the expression itself. Rules without mandatory trigrams scan every
+text.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table
+from .common import join_versions, table, versions
 from .spans import EMPTY, joined, matches, sha256, tagged
 
 
@@ -42,7 +43,7 @@ ADDED = (
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}+"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}+"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
-    Rule("url_login", r"://[A-Za-z0-9._-]{1,64}:[^ \t\r\n/@:]{8,64}@"),
+    Rule("url_login", r"://[A-Za-z0-9._-]++:[^ \t\r\n/@:]{8,}+@"),
     Rule("upper_hex", r"[0-9A-F]{32,}+"),
 )
 RULES = BASE + ADDED
@@ -109,27 +110,27 @@ def asked(rules: tuple[Rule, ...] = RULES) -> list[str]:
 
 
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Postings (trigram, doc_id): which documents hold which of the trigrams that rules ask for, in any case."""
+    """Postings (trigram, doc_id, version): which texts hold which of the trigrams that rules ask for, in any case."""
     held = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in asked(rules)]))
-    return docs.select("doc_id", F.lower("text").alias("low")).select("doc_id", F.explode(held).alias("trigram"))
+    return docs.select("doc_id", "version", F.lower("text").alias("low")).select("doc_id", "version", F.explode(held).alias("trigram"))
 
 
-def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, kinds): the rules whose trigram query a document's postings satisfy.
+def terms(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(trigram, kind, choice, need): the sets of the rules' queries; each is a choice of `need` trigrams."""
+    rows = [(t, r.kind, i, len(s)) for r in rules for i, s in enumerate(trigram_query(r) or ()) for t in sorted(s)]
+    made = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("trigram", "kind", "choice", "need"), row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*made)))
 
-    Intersecting is grouping the postings by document with a bit for each trigram: sums are combined before the
-    shuffle, so that neither a trigram of all documents nor a document of all trigrams weighs on one task.
-    """
-    names = asked(rules)
-    bit = F.coalesce(*[F.when(F.col("trigram") == t, F.lit(1 << i)) for i, t in enumerate(names)])
-    held = postings.groupBy("doc_id").agg(F.bit_or(bit.cast("long")).alias("held"))
 
-    def satisfied(query: Query) -> Column:
-        need = [sum(1 << names.index(t) for t in s) for s in query]
-        return functools.reduce(lambda a, b: a | b, [F.col("held").bitwiseAND(F.lit(n)) == n for n in need])
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(doc_id, version, kinds): the rules of which a text's postings hold one set whole.
 
-    kinds = [F.when(satisfied(q), F.lit(r.kind)) for r in rules if (q := trigram_query(r))]
-    return held.select("doc_id", F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
+    Postings of a set meet by text: they are combined before the shuffle, so that neither a trigram of all documents nor
+    a document of all trigrams weighs on one task.
+    """
+    key = ["doc_id", "version", "kind", "choice", "need"]
+    met = postings.join(F.broadcast(terms(postings.sparkSession, rules)), "trigram").groupBy(*key).agg(F.collect_set("trigram").alias("trigrams"))
+    return met.where(F.size("trigrams") == F.col("need")).groupBy("doc_id", "version").agg(F.collect_set("kind").alias("kinds"))
 
 
 def verified(text: Column, rule: Rule) -> Column:
@@ -141,13 +142,11 @@ def verified(text: Column, rule: Rule) -> Column:
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per document: doc_id, text and one array of (start, rank, end, kind) a rule, named by its kind.
 
-    Null texts count as empty and have no spans. Rows are kept one for one: a doc_id that stands on several rows shares
-    its postings, and each row's own text is verified. Other columns are dropped.
+    Null texts count as empty and have no spans. Rows are kept one for one, repeated and null doc_ids too; rows of equal
+    ids and texts share their postings. Other columns are dropped.
     """
-    docs = documents(docs)
-    if len(asked(rules)) > 62:
-        raise ValueError("the rules name more trigrams than one bit set holds")
-    found = docs.join(candidates(index(docs, rules), rules), "doc_id", "left")
+    docs = versions(docs)
+    found = join_versions(docs, candidates(index(docs, rules), rules), "left") if asked(rules) else docs.withColumn("kinds", F.array().cast("array<string>"))
     none = F.array().cast(EMPTY)
     spans = []
     for rank, rule in enumerate(rules):
