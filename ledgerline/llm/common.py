@@ -82,7 +82,7 @@ def versions(docs: DataFrame) -> DataFrame:
 
 def join_versions(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join on (doc_id, version), columns of `left` coming first; a null doc_id equals a null doc_id."""
-    right = right.withColumnsRenamed({"doc_id": "same_id", "version": "same_version"})
+    right = right.withColumnsRenamed({"doc_id": "same_id", "version": "same_version"})  # a broadcast hint stays
     both = left.join(right, left["doc_id"].eqNullSafe(F.col("same_id")) & (left["version"] == F.col("same_version")), how)
     return both.drop("same_id", "same_version")
 

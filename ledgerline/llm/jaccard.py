@@ -39,6 +39,8 @@ FREQUENT = 8
 EXTEND = 12
 #: 64-bit words of parities that a node carries.
 WORDS = 8
+#: Texts that go on after the first step are broadcast as (doc_id, version) if they are no more than this, 16 MB.
+BROADCAST_ROWS = 500_000
 #: Members of a hub that one slice of a comparison holds.
 SLICE = 2000
 
@@ -195,7 +197,10 @@ def _unordered(a: str, b: str) -> list[Column]:
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Links (a, b) between nodes that connect all that similar pairs connect."""
-    sets = materialize(_sets(docs, materialize(sociable(found), "sociable")), "sets")
+    wanted = materialize(sociable(found), "sociable")
+    if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled to meet them
+        wanted = F.broadcast(wanted)
+    sets = materialize(_sets(docs, wanted), "sets")
     entries = materialize(index(shared_tokens(sets)), "index")
     release(docs.sparkSession)
 
