@@ -1,4 +1,4 @@
-"""Command line: version, ingest, report, anomalies, subscriptions."""
+"""Command line: version, ingest, enrich, correct, ack, train, report, anomalies, subscriptions."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from . import service
 from .ingest import ingest
-from .operators.store import Store, top_anomalies
+from .operators import classify
+from .operators.categorize import Rules
+from .operators.store import Store, acknowledged, top_anomalies
 
 VERSION = "0.1.0"
 
@@ -18,12 +20,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p = argparse.ArgumentParser(prog="ledgerline")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("version")
-    for name in ("ingest", "report", "anomalies", "subscriptions"):
+    for name in ("ingest", "enrich", "correct", "ack", "train", "report", "anomalies", "subscriptions"):
         s = sub.add_parser(name)
         s.add_argument("--store", default="ledger")
         s.add_argument("--account-id")
         if name == "ingest":
             s.add_argument("paths", nargs="+")
+        if name in ("ingest", "enrich"):
+            s.add_argument("--model", help="folder of a saved category model")
+            s.add_argument("--rules", help="JSON file of category rules")
+        if name == "correct":
+            s.add_argument("merchant")
+            s.add_argument("category")
+        if name == "ack":
+            s.add_argument("txn_id")
+        if name == "train":
+            s.add_argument("model")
         if name == "anomalies":
             s.add_argument("--min-score", type=float, default=0.9)
             s.add_argument("--limit", type=int, default=20)
@@ -36,19 +48,32 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "ingest":
         for r in ingest(spark, a.paths, store, a.account_id).collect():
             print(f"{r['file']}: {r['parsed']} parsed, {r['skipped']} skipped, {r['deduped']} already there, {r['failed']} failed")
-        store.write(service.enriched(store.read()))
-        return 0
+    if a.command == "correct":
+        store.correct(a.merchant, a.category)
     ledger = store.read()
     if ledger is None:
         print("nothing ingested yet")
         return 1
+    if a.command == "ack":
+        if not store.acknowledge(a.txn_id):
+            print(f"no transaction {a.txn_id}")
+            return 1
+        return 0
+    if a.command == "train":
+        classify.fit(ledger.where("category_source in ('user', 'rule')")).save(a.model)
+        return 0
+    if a.command in ("ingest", "enrich", "correct"):
+        model = classify.CategoryModel.load(a.model) if getattr(a, "model", None) else None
+        rules = Rules.load(spark, a.rules) if getattr(a, "rules", None) else None
+        store.write(service.enriched(ledger, store.corrections(), model, rules))
+        return 0
     if a.account_id:
         ledger = ledger.where(F.col("account_id") == a.account_id)
     if a.command == "report":
         for r in service.monthly_summary(ledger).orderBy("month", F.desc("total")).collect():
             print(f"{r['month']}  {r['category']:<40} {r['total']:>12.2f}")
     elif a.command == "anomalies":
-        for r in top_anomalies(ledger, a.min_score, a.limit).collect():
+        for r in top_anomalies(acknowledged(ledger, store.acks()), a.min_score, a.limit).collect():
             print(f"{r['posted_date']}  {r['amount']:>10.2f}  {r['anomaly_score']:.3f}  {r['raw_description']}  {', '.join(r['anomaly_reasons'] or [])}")
     else:
         alerts = service.recurring_alerts(ledger)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..schema import DOMAIN_ALIASES, KEYWORD_RULES, MERCHANTS, PLACES, TRANSFER_WORDS
 
-#: What cleaning removes from an upper-cased description, in this order, and what takes its place.
+# What cleaning removes from an upper-cased description, in this order, and what takes its place.
 CLEANING = [
     (r"SQ \*|TST\* ?|PAYPAL \*|\*(TRIP|EATS|RIDE) ", ""), (r"\.COM\b", ""), (r"/", " "), (r"\b\d{10}\b", ""), (r"#\d+", ""), (r"\*[A-Z0-9]{2,4}\b", ""), (r"\b\d{3,6}\b", ""),
 ]
@@ -35,16 +35,20 @@ def subset_alias(cleaned: Column) -> Column:
     return F.coalesce(*[F.when(holds(m), F.lit(m)) for m in MERCHANTS])
 
 
-def keyword_category(raw: Column) -> Column:
-    return F.coalesce(*[F.when(F.upper(raw).contains(k), F.lit(v)) for k, v in KEYWORD_RULES.items()])
+def keyword_category(raw: Column, rules: dict[str, str] = KEYWORD_RULES) -> Column:
+    return F.coalesce(*[F.when(F.upper(raw).contains(k.upper()), F.lit(v)) for k, v in rules.items()], F.lit(None).cast("string"))
 
 
 def looks_like_transfer(raw: Column) -> Column:
     return F.upper(raw).rlike(TRANSFER_WORDS)
 
 
+# The states that descriptions name.
+STATES = r"\b(GA|TX|CO|WA|ID|FL|NY|CA)\b"
+
+
 def state(raw: Column) -> Column:
-    return F.nullif(F.regexp_extract(raw, r"\b(GA|TX|CO|WA|ID|FL|NY|CA)\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(raw, STATES, 1), F.lit(""))
 
 
 def parse_date(text: Column, layout: str) -> Column:

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_descriptor, domain_alias, keyword_category, subset_alias
-from ..schema import FALLBACK, INTERNAL_TRANSFER, MERCHANT_RULES, MERCHANTS
+from ..schema import FALLBACK, INTERNAL_TRANSFER, KEYWORD_RULES, MERCHANT_RULES, MERCHANTS
 
 ALIAS_SCORE = 85.0
 
 
+@dataclass(frozen=True)
+class Rules:
+    """Categories by exact merchant, then by the first keyword that a description holds."""
+
+    merchants: dict[str, str] = field(default_factory=lambda: dict(MERCHANT_RULES))
+    keywords: dict[str, str] = field(default_factory=lambda: dict(KEYWORD_RULES))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Rules:
+        """Rules from a JSON file {"merchants": {name: category}, "keywords": {word: category}}: a table that people keep
+        by hand, so it is read on the driver and becomes literals of the plan."""
+        import json
+
+        said = json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+        return cls(dict(said.get("merchants", {})), dict(said.get("keywords", {})))
+
+
 def indel(a: str, b: str) -> int:
     """Insertions and deletions between two texts: their lengths less twice the longest common subsequence."""
     row = [0] * (len(b) + 1)
@@ -55,21 +74,30 @@ def fuzzy_merchants(texts: DataFrame, least: float = ALIAS_SCORE) -> DataFrame:
 
 def normalized(ledger: DataFrame) -> DataFrame:
     """merchant_norm for every row. Scoring runs over the distinct texts that neither an alias nor whole words settle."""
-    rows = ledger.withColumn("cleaned", clean_descriptor(F.col("raw_description")))
-    rows = rows.withColumn("quick", F.coalesce(domain_alias(F.col("raw_description")), subset_alias(F.col("cleaned"))))
-    slow = fuzzy_merchants(rows.where(F.col("quick").isNull() & (F.col("cleaned") != "")))
-    return rows.join(slow, "cleaned", "left").withColumn("merchant_norm", F.coalesce("quick", "merchant", "cleaned")).drop("cleaned", "quick", "merchant")
+    names = quick_names(ledger)
+    slow = fuzzy_merchants(names.where(F.col("quick").isNull() & (F.col("cleaned") != "")))
+    names = names.join(slow, "cleaned", "left").select("raw_description", F.coalesce("quick", "merchant", "cleaned").alias("merchant_norm"))
+    return ledger.join(names, "raw_description", "left").select(*ledger.columns, "merchant_norm")
+
+
+def quick_names(ledger: DataFrame) -> DataFrame:
+    """(raw_description, cleaned, quick) of distinct descriptions: banks print a merchant's again and again, so cleaning
+    and aliases run once for each. quick is null where neither an alias nor whole words settle the merchant."""
+    texts = ledger.where(F.col("raw_description").isNotNull()).select("raw_description").distinct()
+    texts = texts.withColumn("cleaned", clean_descriptor(F.col("raw_description")))
+    return texts.withColumn("quick", F.coalesce(domain_alias(F.col("raw_description")), subset_alias(F.col("cleaned"))))
 
 
-def rule_category(ledger: DataFrame) -> DataFrame:
-    rules = F.create_map(*[F.lit(x) for pair in MERCHANT_RULES.items() for x in pair])
-    return ledger.withColumn("rule_category", F.coalesce(rules[F.col("merchant_norm")], keyword_category(F.col("raw_description"))))
+def rule_category(ledger: DataFrame, rules: Rules | None = None) -> DataFrame:
+    rules = rules or Rules()
+    by_name = F.create_map(*[F.lit(x) for pair in rules.merchants.items() for x in pair]) if rules.merchants else F.lit(None).cast("map<string,string>")
+    return ledger.withColumn("rule_category", F.coalesce(by_name[F.col("merchant_norm")], keyword_category(F.col("raw_description"), rules.keywords)))
 
 
-def categorized(ledger: DataFrame, corrections: DataFrame | None = None, predictions: DataFrame | None = None, transfers: DataFrame | None = None, least: float = 0.6) -> DataFrame:
+def categorized(ledger: DataFrame, corrections: DataFrame | None = None, predictions: DataFrame | None = None, transfers: DataFrame | None = None, least: float = 0.6, rules: Rules | None = None) -> DataFrame:
     """category, category_source and category_confidence. corrections: (merchant_norm, user_category); predictions:
     (txn_id, model_category, model_confidence); transfers: (txn_id)."""
-    out = rule_category(ledger)
+    out = rule_category(ledger, rules)
     out = out.join(corrections, "merchant_norm", "left") if corrections is not None else out.withColumn("user_category", F.lit(None).cast("string"))
     out = out.join(predictions, "txn_id", "left") if predictions is not None else out.withColumns({"model_category": F.lit(None).cast("string"), "model_confidence": F.lit(None).cast("double")})
     out = out.join(transfers.withColumn("is_transfer", F.lit(True)), "txn_id", "left") if transfers is not None else out.withColumn("is_transfer", F.lit(None).cast("boolean"))

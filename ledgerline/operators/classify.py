@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import amount_bucket, clean_descriptor
@@ -41,6 +41,21 @@ class CategoryModel:
     index: StringIndexerModel
     steps: list[list[tuple[float, float]]]  # of each class: the calibrated curve as points
 
+    def save(self, path: str) -> None:
+        """Write the model to a folder that load() reads; what stood there goes."""
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        self.index.write().overwrite().save(f"{path}/index")
+        points = [(c, i, x, y) for c, curve in enumerate(self.steps) for i, (x, y) in enumerate(curve)]
+        SparkSession.active().createDataFrame(points, "class int, at int, x double, y double").coalesce(1).write.mode("overwrite").parquet(f"{path}/curves")
+
+    @classmethod
+    def load(cls, path: str) -> CategoryModel:
+        index = StringIndexerModel.load(f"{path}/index")
+        steps: list[list[tuple[float, float]]] = [[] for _ in index.labels]
+        for r in SparkSession.active().read.parquet(f"{path}/curves").orderBy("class", "at").collect():  # a few points a class
+            steps[r["class"]].append((r["x"], r["y"]))
+        return cls(PipelineModel.load(f"{path}/pipeline"), index, steps)
+
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows with model_category and model_confidence."""
         p = vector_to_array("probability")
@@ -91,12 +106,39 @@ def grouped_split(rows: DataFrame, share: float = 0.25) -> DataFrame:
     """is_test by merchant, about `share` of each category's merchants; a category's only merchant is for training."""
     m = rows.select("category", "merchant_norm").distinct()
     w = Window.partitionBy("category")
-    order = F.row_number().over(w.orderBy(F.xxhash64("merchant_norm"), "merchant_norm"))
+    order = F.row_number().over(w.orderBy(F.md5(F.col("merchant_norm").cast("binary")), "merchant_norm"))
     n = F.count("*").over(w)
     m = m.withColumn("is_test", (n > 1) & (order <= F.least(n - 1, F.greatest(F.lit(1), F.round(n * share)))))
     return rows.join(m, ["category", "merchant_norm"])
 
 
+def disjoint(rows: DataFrame) -> bool:
+    """Whether no merchant stands both in the training and in the test part of a split."""
+    return rows.where("is_test").select("merchant_norm").intersect(rows.where("not is_test").select("merchant_norm")).isEmpty()
+
+
+def majority(rows: DataFrame) -> DataFrame:
+    """Test rows with the training part's most frequent category (the first by name on ties) as model_category."""
+    counts = rows.where("not is_test").groupBy("category").agg(F.count("*").alias("n"))
+    first = counts.orderBy(F.desc("n"), "category").limit(1).select(F.col("category").alias("model_category"))
+    return rows.where("is_test").crossJoin(F.broadcast(first))  # one row
+
+
+def word_model(rows: DataFrame, label: str = "category", max_iter: int = 200) -> DataFrame:
+    """Test rows with model_category by whole words alone: the baseline of the character n-grams."""
+    index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows.where("not is_test"))
+    words = F.filter(F.split(F.lower(clean_descriptor(F.col("raw_description"))), r"\s+"), lambda w: w != "")
+    data = index.transform(rows.withColumn("words", words))
+    stages = [CountVectorizer(inputCol="words", outputCol="tf", vocabSize=ALL), IDF(inputCol="tf", outputCol="features"), LogisticRegression(maxIter=max_iter, regParam=1e-3)]
+    said = Pipeline(stages=stages).fit(data.where("not is_test")).transform(data.where("is_test"))
+    return said.withColumn("model_category", F.get(F.array(*map(F.lit, index.labels)), F.col("prediction").cast("int"))).select(*rows.columns, "model_category")
+
+
+def row_split(rows: DataFrame, share: float = 0.25) -> DataFrame:
+    """is_test by row: leaky on purpose, since a merchant's rows stand on both sides."""
+    return rows.withColumn("is_test", F.pmod(F.xxhash64("txn_id"), F.lit(1000)) < int(1000 * share))
+
+
 def macro_f1(rows: DataFrame, truth: str, said: str) -> float:
     c = rows.groupBy(F.col(truth).alias("t"), F.col(said).alias("s")).agg(F.count("*").alias("n"))
     hit = c.where("t = s").select(F.col("t").alias("k"), F.col("n").alias("hit"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +46,40 @@ class Store:
 
     def _version(self) -> int:
         try:
-            return max(int(r["value"]) for r in self.spark.read.text(f"{self.path}/current").collect())
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
+            return self.spark.read.text(f"{self.path}/current").agg(F.max(F.col("value").cast("long"))).first()[0]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0
+
+    def _log(self, name: str, schema: str) -> DataFrame:
+        """All entries of an append-only log beside the ledger; none before the first."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def correct(self, merchant: str, category: str) -> None:
+        """A user's category for a merchant; the last one said counts."""
+        row = self.spark.createDataFrame([(merchant, category)], "merchant_norm string, user_category string").withColumn("at", F.current_timestamp())
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/corrections")
+
+    def corrections(self) -> DataFrame:
+        """(merchant_norm, user_category), one a merchant."""
+        return latest(self._log("corrections", "merchant_norm string, user_category string, at timestamp"), ["merchant_norm"], ["at", "user_category"]).drop("at")
+
+    def acknowledge(self, txn_id: str) -> bool:
+        """Mark a transaction's anomaly as seen; False if there is no such transaction."""
+        ledger = self.read()
+        if ledger is None or ledger.where(F.col("txn_id") == txn_id).isEmpty():
+            return False
+        self.spark.createDataFrame([(txn_id,)], "txn_id string").coalesce(1).write.mode("append").parquet(f"{self.path}/acks")
+        return True
+
+    def acks(self) -> DataFrame:
+        return self._log("acks", "txn_id string").distinct()
 
     def read(self) -> DataFrame | None:
         v = self._version()

@@ -28,9 +28,20 @@ def candidate_pairs(ledger: DataFrame, within: int = WITHIN_DAYS) -> DataFrame:
 def transfer_pairs(ledger: DataFrame, within: int = WITHIN_DAYS) -> DataFrame:
     """(a_id, b_id): each row, by date, takes the first later row that fits and isn't taken.
 
-    Rows more than `within` days apart never fit, so a group is one amount in one stretch of days without a longer gap,
-    not all rows of an amount."""
-    e = eligible(ledger).select("txn_id", "account_id", "posted_date", "amount", "cents")
+    Two rows that fit only each other are a pair. What is left is settled in Python: rows more than `within` days apart
+    never fit, so a group is one amount in one stretch of days without a longer gap, not all rows of an amount."""
+    fits = candidate_pairs(ledger, within).select("a_id", "b_id")
+    ends = fits.select(F.col("a_id").alias("id")).unionAll(fits.select(F.col("b_id").alias("id"))).groupBy("id").agg(F.count("*").alias("n"))
+    fits = fits.join(ends.toDF("a_id", "a_n"), "a_id").join(ends.toDF("b_id", "b_n"), "b_id")
+    alone = (F.col("a_n") == 1) & (F.col("b_n") == 1)
+    open_ = fits.where(~alone)
+    open_ = open_.select(F.col("a_id").alias("txn_id")).unionAll(open_.select(F.col("b_id").alias("txn_id")))
+    return fits.where(alone).select("a_id", "b_id").unionAll(_in_turn(eligible(ledger).join(open_, "txn_id", "left_semi"), within))
+
+
+def _in_turn(eligible_rows: DataFrame, within: int) -> DataFrame:
+    """transfer_pairs() of rows that may fit several others."""
+    e = eligible_rows.select("txn_id", "account_id", "posted_date", "amount", "cents")
     w = Window.partitionBy("cents").orderBy("posted_date", "txn_id")
     e = e.withColumn("new", (F.datediff("posted_date", F.lag("posted_date").over(w)) > within).cast("int"))
     e = e.withColumn("stretch", F.sum(F.coalesce("new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -78,8 +78,7 @@ _NAMED = f"named AS (SELECT *, coalesce({_DOMAIN}, {_SUBSET}) AS quick FROM (SEL
 
 
 def _named(l: DataFrame) -> DataFrame:
-    l = l.withColumn("cleaned", T.clean_descriptor(F.col("raw_description")))
-    return l.withColumn("quick", F.coalesce(T.domain_alias(F.col("raw_description")), T.subset_alias(F.col("cleaned"))))
+    return l.join(C.quick_names(l), "raw_description", "left")
 
 
 def _ruled(l: DataFrame) -> DataFrame:
@@ -205,9 +204,18 @@ query("d1_outlier", "ord", f", {_MAD} SELECT txn_id, round(CASE WHEN z > 3.5 THE
 query("d2_new_merchant", "ord", f"SELECT txn_id, round(least(1.0::DOUBLE, abs(amount) / 500), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY {ROW} ORDER BY posted_date, txn_id) AS k FROM ord) WHERE k = 1 AND abs(amount) > 50")(
     lambda l: D.new_merchant(l).where("s_new IS NOT NULL").select("txn_id", r("s_new", 6).alias("score"))
 )
-query("j8_suppress", "plant", f", {_PLANT} SELECT txn_id FROM (SELECT *, row_number() OVER (PARTITION BY {ROW} ORDER BY posted_date, txn_id) AS k FROM plant) x WHERE k = 1 AND abs(amount) > 50 AND NOT EXISTS (SELECT 1 FROM grp WHERE grp.account_id = x.account_id AND grp.merchant_norm = x.merchant_norm)")(
-    lambda l: D.new_merchant(l, R.recurring_groups(l)).where("s_new IS NOT NULL").select("txn_id")
-)
+_BOTH = "bills AS (SELECT * FROM plant UNION ALL SELECT * FROM ev WHERE txn_id % 5 = 0), " + _GROUPS.replace("{v}", "bills")
+
+
+@query("j8_suppress", None, f", {_BOTH} SELECT account_id, merchant_norm, txn_id, g.account_id IS NOT NULL AS suppressed FROM (SELECT *, row_number() OVER (PARTITION BY {ROW} ORDER BY posted_date, txn_id) AS k FROM bills) x LEFT JOIN (SELECT account_id, merchant_norm FROM grp) g USING (account_id, merchant_norm) WHERE k = 1 AND abs(amount) > 50")
+def _j8(spark, sf_dir):
+    """First charges of merchants: subscriptions, whose recurring groups suppress them, and single purchases."""
+    bills = views.planted(spark, sf_dir).unionByName(views.events(spark, sf_dir).where("txn_id % 5 = 0"))
+    every, kept = D.new_merchant(bills), D.new_merchant(bills, R.recurring_groups(bills))
+    left = kept.where("s_new IS NOT NULL").select("txn_id", "account_id", F.lit(False).alias("kept"))
+    return every.where("s_new IS NOT NULL").join(left, ["txn_id", "account_id"], "left").select("account_id", "merchant_norm", "txn_id", F.col("kept").isNull().alias("suppressed"))
+
+
 query("j9_members", "plant", f", {_PLANT} SELECT txn_id, period FROM mem")(lambda l: R.members(l, R.recurring_groups(l)).select("txn_id", "period"))
 _VELO = """day AS (SELECT account_id, posted_date, count(*) AS c FROM {v} GROUP BY 1, 2), rate AS (SELECT account_id, avg(c) AS m FROM day GROUP BY 1),
 velo AS (SELECT account_id, posted_date, c, 1 - list_sum(list_transform(range(c), lambda k: exp(k * ln(m) - m - list_sum(list_transform(range(1, k + 1), lambda i: ln(i)) || [0.0::DOUBLE])))) AS p FROM day JOIN rate USING (account_id) WHERE c >= 3)"""
@@ -282,7 +290,10 @@ def _d9(l):
     return anomalies(l).select("txn_id", "account_id", "forest_score", "anomaly_score", "anomaly_reasons")
 
 
-@query("m1_ngrams", "ord")
+_GRAMS = "flatten(list_transform(list_filter(string_split_regex(lower(cleaned), '\\s+'), lambda w: w <> ''), lambda w: flatten(list_transform(range(2, 6), lambda n: list_transform(range(1, greatest(len(w) + 4 - n, 1)), lambda i: substr(' ' || w || ' ', i, n))))))"
+
+
+@query("m1_ngrams", "ord", f", {_NAMED} SELECT gram, count(*) AS n FROM (SELECT unnest({_GRAMS}) AS gram FROM named) GROUP BY 1")
 def _m1(l):
     from ..operators.classify import ngrams
 
@@ -296,21 +307,84 @@ def _m3(l):
     return fit(l).predict(l).select("txn_id", "category", "model_category", "model_confidence")
 
 
-@query("m6_grouped_split", "ord")
+_SPLIT = """mm AS (SELECT DISTINCT category, merchant_norm FROM ord), mo AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(merchant_norm), merchant_norm) AS k, count(*) OVER (PARTITION BY category) AS n FROM mm),
+split AS (SELECT ord.*, n > 1 AND k <= least(n - 1, greatest(1, round(n * 0.25::DOUBLE))) AS is_test FROM ord JOIN mo USING (category, merchant_norm))"""
+
+
+@query("u3_disjoint", "ord", f", {_SPLIT} SELECT category, count(DISTINCT merchant_norm) FILTER (is_test) AS tests, count(DISTINCT merchant_norm) FILTER (NOT is_test) AS trains, (SELECT count(*) FROM (SELECT category, merchant_norm FROM split WHERE is_test INTERSECT SELECT category, merchant_norm FROM split WHERE NOT is_test)) AS both FROM split GROUP BY 1")
+def _u3(l):
+    from ..operators.classify import grouped_split
+
+    rows = grouped_split(l)
+    both = rows.where("is_test").select("category", "merchant_norm").intersect(rows.where("not is_test").select("category", "merchant_norm")).agg(F.count("*").alias("both"))
+    counts = rows.groupBy("category").agg(F.count_distinct(F.when(F.col("is_test"), F.col("merchant_norm"))).alias("tests"), F.count_distinct(F.when(~F.col("is_test"), F.col("merchant_norm"))).alias("trains"))
+    return counts.crossJoin(F.broadcast(both))  # one row
+
+
+@query("m7_majority", "ord", f", {_SPLIT}, top AS (SELECT category AS model_category FROM split WHERE NOT is_test GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT category, model_category, count(*) AS n FROM split, top WHERE is_test GROUP BY 1, 2")
+def _m7(l):
+    from ..operators.classify import grouped_split, majority
+
+    return majority(grouped_split(l)).groupBy("category", "model_category").agg(F.count("*").alias("n"))
+
+
+@query("m8_threshold", "ev", "SELECT threshold, avg((conf >= threshold)::INT) AS coverage, avg(CASE WHEN conf >= threshold THEN (said = category)::INT END) AS precision FROM (SELECT category, CASE WHEN txn_id % 4 = 0 THEN 'other' ELSE category END AS said, (txn_id * 37 % 100) / 100.0::DOUBLE AS conf, unnest([0.3::DOUBLE, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS threshold FROM ev) GROUP BY 1")
+def _m8(l):
+    from ..operators.classify import threshold_curve
+
+    said = F.when(F.col("txn_id") % 4 == 0, "other").otherwise(F.col("category"))
+    return threshold_curve(l.select("category", said.alias("model_category"), (F.col("txn_id") * 37 % 100 / 100.0).alias("model_confidence")))
+
+
+@query("m6_grouped_split", "ord", f", {_SPLIT} SELECT txn_id, category, merchant_norm, is_test FROM split")
 def _m6(l):
     from ..operators.classify import grouped_split
 
     return grouped_split(l).select("txn_id", "category", "merchant_norm", "is_test")
 
 
-@query("a16_precision_at_k", "ord")
+_TRUTH = f"{_RULES}, pct AS (SELECT *, {_PCT} AS anomaly_score FROM scored), truth AS (SELECT pct.*, ord.amount < -450000 OR txn_id % 97 = 0 AS is_anomaly, CASE WHEN ord.amount < -450000 THEN 'large' ELSE 'planted' END AS anomaly_type FROM pct JOIN ord USING (txn_id))"
+
+
+def _truth(l):
+    """Scores beside a stated truth: large amounts and every 97th order."""
+    rows = D.rule_scores(l).withColumn("rule_score", r("rule_score", 6)).withColumn("anomaly_score", r(D.percentile_of_history("rule_score"), 9))
+    large = F.col("amount") < -450000
+    return rows.withColumn("is_anomaly", large | (F.col("txn_id") % 97 == 0)).withColumn("anomaly_type", F.when(large, "large").otherwise("planted"))
+
+
+@query("a16_precision_at_k", "ord", f", {_TRUTH} SELECT account_id, avg(is_anomaly::INT) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY anomaly_score DESC, txn_id) AS top FROM truth) WHERE top <= 10 GROUP BY 1")
 def _a16(l):
     from ..operators.evaluate import precision_at_k
 
-    return precision_at_k(D.rule_scores(l).withColumn("is_anomaly", F.abs("amount") > 450000))
+    return precision_at_k(_truth(l))
+
+
+@query("a16_pr_auc", "ord", f", {_TRUTH}, step AS (SELECT account_id, anomaly_score, sum(is_anomaly::INT) AS hits, count(*) AS n FROM truth GROUP BY 1, 2), cum AS (SELECT *, sum(hits) OVER w AS found, sum(n) OVER w AS seen, sum(hits) OVER (PARTITION BY account_id) AS total FROM step WINDOW w AS (PARTITION BY account_id ORDER BY anomaly_score DESC)) SELECT account_id, round(sum(found / seen * hits) / nullif(max(total), 0), 6) AS pr_auc FROM cum GROUP BY 1")
+def _a16_auc(l):
+    from ..operators.evaluate import pr_auc
+
+    return pr_auc(_truth(l)).select("account_id", r("pr_auc", 6).alias("pr_auc"))
+
+
+@query("a16_recall_by_type", "ord", f", {_TRUTH}, bar AS (SELECT account_id, quantile_cont(anomaly_score, 0.9) AS bar FROM truth GROUP BY 1) SELECT anomaly_type, round(avg((anomaly_score >= bar)::INT), 6) AS recall, count(*) AS n FROM truth JOIN bar USING (account_id) WHERE is_anomaly GROUP BY 1")
+def _a16_types(l):
+    from ..operators.evaluate import recall_by_type
+
+    return recall_by_type(_truth(l)).select("anomaly_type", r("recall", 6).alias("recall"), "n")
+
+
+query("f19_reasons", "ev", f""", {_VELO.replace('{v}', 'ev')}, {_DUP.replace('{v}', 'ev')}, firsts AS (SELECT *, row_number() OVER (PARTITION BY {ROW} ORDER BY posted_date, txn_id) AS k FROM ev),
+tops AS (SELECT *, max(abs(amount)) OVER (PARTITION BY account_id ORDER BY posted_date, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM ev)
+SELECT txn_id, 'new' AS signal, printf('first-ever transaction with ''%s'', amount $%.2f', merchant_norm, abs(amount)) AS reason FROM firsts WHERE k = 1 AND abs(amount) > 50
+UNION ALL SELECT txn_id, 'velocity', printf('%d transactions on %s vs a typical %.1f/day for this account (p=%.4f)', c, strftime(posted_date, '%Y-%m-%d'), round(m, 1), round(p, 4)) FROM ev JOIN velo USING (account_id, posted_date) JOIN rate USING (account_id) WHERE p < 0.01
+UNION ALL SELECT txn_id, 'duplicate', printf('duplicate charge: same merchant and amount ($%.2f) %d day(s) apart', abs(amount), dup_gap) FROM dup WHERE dup_gap IS NOT NULL
+UNION ALL SELECT txn_id, 'extreme', printf('$%.2f is more than %.0fx anything seen on this account so far', abs(amount), 5.0::DOUBLE) FROM tops WHERE t > 0 AND abs(amount) > 5 * t""")(
+    lambda l: D.extreme_amount(D.duplicate_charge(D.velocity(D.new_merchant(l)))).select("txn_id", F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(f"why_{n}").alias("reason")) for n in ("new", "velocity", "duplicate", "extreme")])).alias("x")).select("txn_id", "x.*").where("reason IS NOT NULL")
+)
 
 
-@query("w7_chase_lines", "ev")
+@query("w7_chase_lines", "ev", "SELECT concat_ws(',', CASE WHEN amount < 0 THEN 'DEBIT' ELSE 'CREDIT' END, strftime(posted_date, '%m/%d/%Y'), CASE WHEN regexp_matches(raw_description, '[\",\n]') THEN '\"' || replace(raw_description, '\"', '\"\"') || '\"' ELSE raw_description END, CAST(CAST(amount AS DECIMAL(12,2)) AS VARCHAR), 'ACH') AS value FROM ev UNION ALL SELECT 'Details,Posting Date,Description,Amount,Type'")
 def _w7(l):
     from ..sources.writers import rendered
 

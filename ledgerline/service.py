@@ -13,17 +13,17 @@ from .schema import FALLBACK, INTERNAL_TRANSFER
 DERIVED = ["merchant_norm", "category", "category_source", "category_confidence", "is_recurring", "recurring_group_id", "anomaly_score", "anomaly_reasons", "cold_start"]
 
 
-def enriched(ledger: DataFrame, corrections: DataFrame | None = None, model=None) -> DataFrame:
+def enriched(ledger: DataFrame, corrections: DataFrame | None = None, model=None, rules: categorize.Rules | None = None) -> DataFrame:
     """Transfers, categories, recurring groups and anomalies for every row, in this order."""
     base = ledger.drop(*DERIVED)
     named = categorize.normalized(base)
     moved = transfers.transfer_ids(transfers.transfer_pairs(ledger))
     said = None
     if model is not None:  # only rows that no cheaper step settles
-        left = categorize.rule_category(named).where("rule_category IS NULL").drop("rule_category")
+        left = categorize.rule_category(named, rules).where("rule_category IS NULL").drop("rule_category")
         said = model.predict(left).select("txn_id", "model_category", "model_confidence")
-    rows = categorize.categorized(named, corrections, said, moved)
-    rows = rows.withColumn("amount", F.col("amount").cast("double")).cache()
+    rows = categorize.categorized(named, corrections, said, moved, rules=rules)
+    rows = rows.withColumn("amount", F.col("amount").cast("double")).cache()  # the steps below read it ten times
     own = rows.where(F.coalesce(F.col("category"), F.lit(FALLBACK)) != INTERNAL_TRANSFER)
     groups = recurring.recurring_groups(own)
     flags = groups.select("account_id", "merchant_norm", F.lit(True).alias("is_recurring"), F.concat_ws(":", "account_id", "merchant_norm").alias("recurring_group_id"))

@@ -72,7 +72,7 @@ def cells(files: DataFrame, layout: str | None = None) -> DataFrame:
                     out.append(blank | {"format": "ofx", "confidence": 1.0, "body": text})
                     continue
                 try:
-                    rows = list(csv.reader(io.StringIO(text), strict=True))
+                    rows = list(csv.reader(io.StringIO(text)))
                 except csv.Error as e:
                     out.append(blank | {"format": layout, "problem": f"malformed CSV: {e}"})
                     continue
