@@ -18,23 +18,24 @@ def total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def running(numbers: Column) -> Column:
-    """Sums of the first 1, 2, ... numbers: by blocks, so that the work isn't the square of the length."""
+def running(numbers: Column, whole=total, both=lambda a, b: a + b) -> Column:
+    """Sums of the first 1, 2, ... numbers, or what else whole() makes of several and both() of two; by blocks, so that the
+    work isn't the square of the length."""
     blocks = F.transform(
         F.when(F.size(numbers) > 0, F.sequence(F.lit(0), ((F.size(numbers) - 1) / _BLOCK).cast("int"))).otherwise(F.array().cast("array<int>")),
         lambda b: F.slice(numbers, b * _BLOCK + 1, F.lit(_BLOCK)),
     )
 
     def inner(bs: Column) -> Column:
-        sums = F.transform(bs, total)
+        sums = F.transform(bs, whole)
         return let(
             sums,
             lambda s: F.flatten(
                 F.transform(
                     bs,
                     lambda x, i: let(
-                        total(F.slice(s, F.lit(1), i)),
-                        lambda before: F.transform(x, lambda _, j: before + total(F.slice(x, F.lit(1), j + 1))),
+                        whole(F.slice(s, F.lit(1), i)),
+                        lambda before: F.transform(x, lambda _, j: both(before, whole(F.slice(x, F.lit(1), j + 1)))),
                     ),
                 )
             ),
