@@ -221,7 +221,9 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     apart = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     rest = one.join(two, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.slice") == F.col("y.slice")) & apart & possible("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     rest = rest.select(*_unordered("a", "b")).distinct()
-    return near.union(materialize(verified(rest, sets), "rest-links"))
+    far = materialize(verified(rest, sets), "rest-links")
+    release(docs.sparkSession, sets, entries, stars, roots, placed)
+    return near.union(far)
 
 
 def grouped(docs: DataFrame) -> DataFrame:

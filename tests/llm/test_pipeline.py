@@ -17,3 +17,21 @@ def test_stages_by_hand(spark):
         before = docs.count()
     assert docs.where("text RLIKE '[a-z0-9]@mail'").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == before
+
+
+def test_stages_with_null_ids_and_any_columns(spark):
+    """Each filtering stage on rows without ids, with columns of any name, and on no rows."""
+    from pyspark.sql import functions as F
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    long = " ".join(f"word{i}x" for i in range(60))
+    rows = [(None, long, "a"), (None, long, "b"), (1, long + " more", "c"), (2, bench, "d"), (None, bench, "e"), (3, None, "f"), (4, "", "g"), (5, "mail jo.doe@mail.example.com now", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("source", "n_chars", "kept_id", "bad_id", "node", "version", "row", "same_id", "id", "no_id", "spans")})
+    stages = dict(corpus_pipeline.STAGES)
+    left = {name: stages[name](spark, docs, SF) for name in ("quality_classifier", "jaccard_join", "decontamination", "pii")}
+    assert all(x.columns == docs.columns for x in left.values())
+    joined = [r.lang for r in left["jaccard_join"].collect()]
+    assert "c" in joined and not {"a", "b"} & set(joined) and {"d", "f", "g", "h"} <= set(joined) and "e" not in joined
+    assert sorted(r.lang for r in left["decontamination"].collect()) == ["a", "b", "c", "f", "g", "h"]
+    assert {r.lang: r.text for r in left["pii"].collect()}["h"] == "mail [EMAIL] now"
+    assert all(stages[name](spark, docs.limit(0), SF).count() == 0 for name in stages)
