@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from .common import _INVERSE, Bytes, byte_steps, documents, mix, powers, table
 
 #: A chunk begins at a space if the hash of what precedes it is divisible by this.
-CUT_EVERY = 64
+CUT_EVERY = 128
 #: Bytes under the rolling hash.
 WINDOW = 16
 #: Chunks, and joins of them, that a Python worker remembers, and words; beyond it the memory starts anew.
-CACHE_CHUNKS, CACHE_WORDS = 60_000, 700_000
+CACHE_CHUNKS, CACHE_WORDS = 40_000, 900_000
 
 #: What is known of a piece of text: the number of its ids, their decimals, and their decoded texts.
 Known = tuple[int, str, str]
@@ -49,6 +49,7 @@ class ChunkEncoder:
         self.chunk: dict[str, Known] = {}
         #: words with a space before them (the key is without it), and words that begin a text
         self.word: dict[str, Known] = {}
+        self.old_word: dict[str, Known] = {}  # words of the last full memory, which come back when they are met
         self.first: dict[str, Known] = {}
         #: whether the ids of two chunks side by side are those of both together, by the words beside the join
         self.agree: dict[str, bool] = {}
@@ -116,14 +117,18 @@ class ChunkEncoder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode, once, the chunks that aren't known yet, and check the joins that aren't."""
-        for cache, most in ((self.chunk, self.cache_chunks), (self.agree, self.cache_chunks), (self.word, CACHE_WORDS), (self.first, CACHE_WORDS), (self.sound, CACHE_WORDS), (self.unsound, CACHE_WORDS)):
+        for cache, most in ((self.chunk, self.cache_chunks), (self.agree, self.cache_chunks), (self.first, CACHE_WORDS), (self.sound, CACHE_WORDS), (self.unsound, CACHE_WORDS)):
             if len(cache) > most:
                 cache.clear()
+        if len(self.word) > CACHE_WORDS // 2:
+            self.word, self.old_word = {}, self.word
         new = {c: c.split(" ") for c in set().union(*texts) - self.chunk.keys()}
         joins = {self.beside(a, b) for chunks in texts for a, b in zip(chunks, chunks[1:], strict=False)}
         parted = {j: (j[: j.rfind(" ")], j[j.rfind(" ") :]) for j in joins if j not in self.agree}
         beside = [w for pair in parted.values() for w in pair]
         words = [w for w in set().union(*(p[1:] for p in new.values()), (w[1:] for w in beside if w[0] == " ")) if w not in self.word]
+        self.word.update((w, self.old_word[w]) for w in words if w in self.old_word)
+        words = [w for w in words if w not in self.old_word]
         self.word.update(zip(words, self._known([" " + w for w in words]), strict=True))
         first = [w for w in {*(p[0] for p in new.values() if p[0]), *(w for w in beside if w[0] != " ")} if w not in self.first]
         self.first.update(zip(first, self._known(first), strict=True))
