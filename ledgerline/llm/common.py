@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; longer single texts make larger steps.
@@ -95,6 +95,24 @@ def rows_of(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
     return join_versions(rows, wanted.select("doc_id", "version"), how)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, at: str = "position") -> DataFrame:
+    """df with each row's position (from 1) in the given order over all rows, and without a task that sees them all.
+
+    Ranges of the order are dealt to tasks and written; a row's position is its place within its range after the rows of
+    the ranges before it, and only the ranges' counts, one number a task, meet in one place. Equal rows may change places.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.withColumn("_spread", F.monotonically_increasing_id())  # many equal keys don't make one range
+    ranges = spread.repartitionByRange(n, *order, F.col("_spread")).sortWithinPartitions(*order, "_spread").drop("_spread")
+    dealt = materialize(ranges.withColumn("_at", F.monotonically_increasing_id()), name)
+    range_no = F.shiftright("_at", 33)
+    counts = dealt.groupBy(range_no.alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_range", before.alias("_before"))  # a row for each of the n ranges
+    placed = dealt.join(F.broadcast(counts), range_no == F.col("_range"))
+    return placed.withColumn(at, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_range", "_before", "_at")
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 
-from . import bpe, jaccard, leaks, licenses, pii, quality, repeats, scoring, secrets, vectors
+from . import bpe, centroids, jaccard, leaks, licenses, mixing, pii, quality, repeats, resample, scoring, secrets, vectors
 
 
 def queries() -> dict[str, Callable]:
@@ -21,10 +21,13 @@ def queries() -> dict[str, Callable]:
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_licenses": licenses.op9_licenses,
         "op10_bpe": bpe.op10_bpe,
+        "op11_resample": resample.op11_resample,
+        "op12_centroids": centroids.op12_centroids,
+        "op13_mix": mixing.op13_mix,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op9_licenses": licenses.op9_sql()}
+    out = {"op9_licenses": licenses.op9_sql(), "op11_resample": resample.op11_sql(), "op12_centroids": centroids.op12_sql(), "op13_mix": mixing.op13_sql()}
     return out if corpus_pipeline.ORACLE_SQL is None else out | {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -5,7 +5,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_registry():
-    assert {int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")} == set(range(1, 11)) and "pipeline" in registry.queries()
+    assert {int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")} == set(range(1, 14)) and "pipeline" in registry.queries()
 
 
 def test_stages_by_hand(spark):
