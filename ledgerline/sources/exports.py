@@ -54,41 +54,46 @@ def detect(text: str, rows: list[list[str]]) -> tuple[str | None, float]:
     return best if best[1] >= LEAST_CONFIDENCE else (None, best[1])
 
 
+FIELDS = ("format", "confidence", "header_at", "row_no", "cells", "problem", "body")
+
+
+def file_cells(path: str, content: bytes, layout: str | None = None) -> Iterator[dict]:
+    """The CSV rows of one file as cells, its text as a body if it is OFX, or the problem that it has as a whole."""
+    blank = dict.fromkeys(FIELDS) | {"file": path}
+    try:
+        text = decoded(content)
+    except UnicodeDecodeError:
+        yield blank | {"problem": "unreadable bytes"}
+        return
+    if layout == "ofx" or layout is None and detect(text, [])[0] == "ofx":
+        yield blank | {"format": "ofx", "confidence": 1.0, "body": text}
+        return
+    try:
+        rows = list(csv.reader(io.StringIO(text)))
+    except csv.Error as e:
+        yield blank | {"format": layout, "problem": f"malformed CSV: {e}"}
+        return
+    name, confidence = (layout, 1.0) if layout else detect(text, rows)
+    if name is None:
+        yield blank | {"confidence": confidence, "problem": f"unrecognized format; first row: {rows[0] if rows else []}"}
+        return
+    near = rows[:SCAN_ROWS] if name == "boa" else rows[:1]
+    at = next((i for i, r in enumerate(near) if [c.strip() for c in r] == HEADERS[name]), None)
+    if at is None:
+        yield blank | {"format": name, "confidence": confidence, "problem": f"no header {HEADERS[name]}"}
+        return
+    for i, row in enumerate(rows):
+        if i != at:
+            yield blank | {"format": name, "confidence": confidence, "header_at": at, "row_no": i + 1, "cells": row}
+
+
 def cells(files: DataFrame, layout: str | None = None) -> DataFrame:
     """One row for each CSV row of each file (path, content); OFX files are one row with their text in body."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                blank = dict.fromkeys(("format", "confidence", "header_at", "row_no", "cells", "problem", "body")) | {"file": path}
-                try:
-                    text = decoded(bytes(content))
-                except UnicodeDecodeError:
-                    out.append(blank | {"problem": "unreadable bytes"})
-                    continue
-                is_ofx = layout == "ofx" or layout is None and detect(text, [])[0] == "ofx"
-                if is_ofx:
-                    out.append(blank | {"format": "ofx", "confidence": 1.0, "body": text})
-                    continue
-                try:
-                    rows = list(csv.reader(io.StringIO(text)))
-                except csv.Error as e:
-                    out.append(blank | {"format": layout, "problem": f"malformed CSV: {e}"})
-                    continue
-                name, confidence = (layout, 1.0) if layout else detect(text, rows)
-                if name is None:
-                    out.append(blank | {"confidence": confidence, "problem": f"unrecognized format; first row: {rows[0] if rows else []}"})
-                    continue
-                near = rows[:SCAN_ROWS] if name == "boa" else rows[:1]
-                at = next((i for i, r in enumerate(near) if [c.strip() for c in r] == HEADERS[name]), None)
-                if at is None:
-                    out.append(blank | {"format": name, "confidence": confidence, "problem": f"no header {HEADERS[name]}"})
-                    continue
-                for i, row in enumerate(rows):
-                    if i != at:
-                        out.append(blank | {"format": name, "confidence": confidence, "header_at": at, "row_no": i + 1, "cells": row})
-            yield pd.DataFrame(out, columns=["file", "format", "confidence", "header_at", "row_no", "cells", "problem", "body"])
+            rows = (x for path, content in zip(frame["path"], frame["content"], strict=True) for x in file_cells(path, bytes(content), layout))
+            yield pd.DataFrame(rows, columns=["file", *FIELDS])
 
     return files.select("path", "content").mapInPandas(run, CELLS)
 
