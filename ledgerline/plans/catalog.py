@@ -389,3 +389,30 @@ def _w7(l):
     from ..sources.writers import rendered
 
     return rendered(l, "chase").select("value")
+
+
+# velocity and bursts by time
+
+_AT = "timed AS (SELECT event_id AS txn_id, user_id AS account_id, ts, -value AS amount, CAST(round(-value * 100) AS BIGINT) AS cents FROM events)"
+
+
+def _timed(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("txn_id"), F.col("user_id").alias("account_id"), "ts", (-F.col("value")).alias("amount"))
+
+
+@query("v1_trailing", None, f""", {_AT} SELECT txn_id, account_id, count(*) OVER d AS n_24h, CAST(sum(cents) OVER d AS BIGINT) AS cents_24h, count(*) OVER w AS n_7d, CAST(sum(cents) OVER w AS BIGINT) AS cents_7d FROM timed
+WINDOW d AS (PARTITION BY account_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW), w AS (PARTITION BY account_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)""")
+def _v1(spark, sf_dir):
+    from ..operators.trailing import trailing_counts
+
+    return trailing_counts(_timed(spark, sf_dir)).drop("ts")
+
+
+@query("v2_bursts", None, f""", {_AT}, isle AS (SELECT *, sum(new) OVER (PARTITION BY account_id ORDER BY ts, txn_id) AS island FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY account_id ORDER BY ts, txn_id) + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS new FROM timed)),
+sess AS (SELECT account_id, min(ts) AS began, max(ts) + INTERVAL 2 HOURS AS ended, count(*) AS n, count(*) FILTER (abs(amount) <= 20) AS n_small, CAST(sum(abs(cents)) AS BIGINT) AS total_cents, min(ts) FILTER (abs(amount) <= 20) AS first_small, max(ts) FILTER (abs(amount) >= 50) AS last_large FROM isle GROUP BY account_id, island)
+SELECT account_id, began, ended, n, n_small, total_cents FROM sess WHERE n_small >= 2 AND last_large > first_small""")
+def _v2(spark, sf_dir):
+    """Events lie hours apart, so sessions here have a gap of two hours."""
+    from ..operators.trailing import bursts
+
+    return bursts(_timed(spark, sf_dir), gap="2 hours", small=20.0, least=2, large=50.0)
