@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import PERIODS
 from .detect import by_merchant, in_order
+from .order_stats import with_expanding_median
 
 KEY = ["account_id", "merchant_norm"]
 
@@ -51,8 +52,8 @@ def members(ledger: DataFrame, groups: DataFrame) -> DataFrame:
 
 def price_hikes(ledger: DataFrame, groups: DataFrame) -> DataFrame:
     """Rows over 10 % and 2.0 above the median of the group's earlier amounts."""
-    before = F.percentile(F.abs("amount"), F.lit(0.5)).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
-    rows = members(ledger, groups).withColumn("old", before).withColumn("new", F.abs("amount"))
+    rows = with_expanding_median(members(ledger, groups).select(*KEY, "txn_id", "posted_date", "amount"), KEY, ["posted_date", "txn_id"], F.abs("amount"), "old")
+    rows = rows.withColumn("new", F.abs("amount"))
     change = F.col("new") - F.col("old")
     rows = rows.where((F.col("old") > 0) & (change > 2.0) & (change / F.col("old") > 0.10))
     return rows.select(*KEY, "txn_id", "posted_date", F.round("old", 2).alias("old_amount"), F.round("new", 2).alias("new_amount"), F.round(change / F.col("old"), 3).alias("pct_change"))

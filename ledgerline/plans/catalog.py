@@ -12,6 +12,7 @@ from ..operators import categorize as C
 from ..operators import detect as D
 from ..operators import recurring as R
 from ..operators import transfers as X
+from ..operators.order_stats import with_expanding_median
 from ..schema import DOMAIN_ALIASES, KEYWORD_RULES, MERCHANT_RULES, MERCHANTS, PERIODS, PLACES
 from . import views
 
@@ -184,7 +185,7 @@ _DUP = "dup AS (SELECT *, CASE WHEN date_diff('day', posted_date, lead(posted_da
 query("n5_duplicates", "plant", f", {_DUP.replace('{v}', 'plant')} SELECT txn_id, dup_gap FROM dup WHERE dup_gap IS NOT NULL")(lambda l: D.duplicate_charge(l).where("dup_gap IS NOT NULL").select("txn_id", "dup_gap"))
 _OLD = "old AS (SELECT *, abs(amount) AS new, median(abs(amount)) OVER (PARTITION BY account_id, merchant_norm ORDER BY posted_date, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM {v})"
 query("n6_expanding_median", "ord", f", {_OLD.replace('{v}', 'ord')} SELECT txn_id, round(old, 4) AS old FROM old")(
-    lambda l: l.select("txn_id", r(F.percentile(F.abs("amount"), F.lit(0.5)).over(D.in_order().rowsBetween(Window.unboundedPreceding, -1))).alias("old"))
+    lambda l: with_expanding_median(l.select("account_id", "merchant_norm", "posted_date", "txn_id", "amount"), ["account_id", "merchant_norm"], ["posted_date", "txn_id"], F.abs("amount"), "old").select("txn_id", r("old").alias("old"))
 )
 query("n7_dup_billing", "plant", f", {_PLANT}, pv AS (SELECT *, lag(posted_date) OVER (PARTITION BY {ROW} ORDER BY posted_date, txn_id) AS prev_date FROM mem) SELECT {ROW}, txn_id, prev_date, posted_date, abs(amount) AS charged FROM pv WHERE date_diff('day', prev_date, posted_date) <= 3")(
     lambda l: R.duplicate_billing(l, R.recurring_groups(l))
