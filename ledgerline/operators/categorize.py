@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_descriptor, domain_alias, keyword_category, subset_alias
 from ..schema import FALLBACK, INTERNAL_TRANSFER, KEYWORD_RULES, MERCHANT_RULES, MERCHANTS
+from .fuzzy import best_names
 
 ALIAS_SCORE = 85.0
 
@@ -59,17 +59,7 @@ def token_set_score(a: str, b: str) -> float:
 
 def fuzzy_merchants(texts: DataFrame, least: float = ALIAS_SCORE) -> DataFrame:
     """(cleaned, merchant) for distinct texts: the best canonical name that scores enough, the first on ties."""
-
-    @F.pandas_udf("string")
-    def best(s: pd.Series) -> pd.Series:
-        def of(text: str):
-            scores = [token_set_score(text, m.upper()) for m in MERCHANTS]
-            top = max(scores)
-            return MERCHANTS[scores.index(top)] if top >= least else None
-
-        return s.map(of)
-
-    return texts.select("cleaned").distinct().select("cleaned", best("cleaned").alias("merchant"))
+    return best_names(texts.select(F.col("cleaned").alias("text")), MERCHANTS, least).toDF("cleaned", "merchant")
 
 
 def normalized(ledger: DataFrame) -> DataFrame:

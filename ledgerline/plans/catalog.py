@@ -89,7 +89,44 @@ def _ruled(l: DataFrame) -> DataFrame:
 query("f1_clean", "ord", f"SELECT txn_id, {_CLEAN} AS cleaned FROM ord")(lambda l: l.select("txn_id", T.clean_descriptor(F.col("raw_description")).alias("cleaned")))
 query("f2_domain_alias", "ord", f"SELECT txn_id, {_DOMAIN} AS merchant FROM ord")(lambda l: l.select("txn_id", T.domain_alias(F.col("raw_description")).alias("merchant")))
 query("f3a_subset_alias", "ord", f", {_NAMED} SELECT txn_id, quick AS merchant FROM named")(lambda l: _named(l).select("txn_id", F.col("quick").alias("merchant")))
-query("f3b_fuzzy", "ord")(lambda l: C.normalized(l.drop("merchant_norm")).select("txn_id", "merchant_norm"))
+
+
+def _fuzzy(texts: str) -> str:
+    """Tables for DuckDB that end in `fuzzy` (text, name): every text of `texts` scored against every name."""
+    masks = "list_transform(string_split(rest, ''), lambda c: CAST(list_sum(list_transform(range(1, len(own_rest) + 1), lambda i: CASE WHEN substr(own_rest, i, 1) = c THEN CAST(1 AS BIGINT) << (i - 1) ELSE CAST(0 AS BIGINT) END)) AS BIGINT))"
+    bits = "((CAST(1 AS BIGINT) << CAST(len(own_rest) AS INT)) - 1)"
+    lcs = f"CASE WHEN rest = '' OR own_rest = '' THEN 0 ELSE len(own_rest) - bit_count(list_reduce(list_prepend({bits}, {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {bits})) END"
+    rest = lambda a, b: f"array_to_string(list_sort(list_filter({a}, lambda w: NOT list_contains({b}, w))), ' ')"
+    return f"""fnames AS (SELECT unnest(range({len(MERCHANTS)})) AS no, unnest({views._list(MERCHANTS)}) AS name), ftexts AS (SELECT DISTINCT text, list_sort(list_distinct(list_filter(string_split(text, ' '), lambda w: w <> ''))) AS x FROM ({texts})),
+fpairs AS (SELECT *, len(array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ')) AS shared, {rest('x', 'y')} AS rest, {rest('y', 'x')} AS own_rest FROM ftexts, (SELECT *, list_sort(list_distinct(string_split(upper(name), ' '))) AS y FROM fnames) WHERE len(x) > 0),
+fscored AS (SELECT *, shared + (shared > 0)::INT + len(rest) AS fa, shared + (shared > 0)::INT + len(own_rest) AS fb, {lcs} AS lcs FROM fpairs),
+fuzzy AS (SELECT text, arg_max(name, (score, -no)) AS name FROM (SELECT *, CASE WHEN shared > 0 AND (rest = '' OR own_rest = '') THEN 100.0::DOUBLE ELSE 100 * greatest(1 - (len(rest) + len(own_rest) - 2 * lcs)::DOUBLE / (fa + fb),
+  CASE WHEN shared > 0 THEN greatest(1 - (1 + len(rest))::DOUBLE / (shared + fa), 1 - (1 + len(own_rest))::DOUBLE / (shared + fb)) ELSE 0 END) END AS score FROM fscored) WHERE score >= {C.ALIAS_SCORE} GROUP BY 1)"""
+
+
+query("f3b_fuzzy", "ord", f", {_NAMED}, {_fuzzy("SELECT cleaned AS text FROM named WHERE quick IS NULL AND cleaned <> ''")} SELECT txn_id, coalesce(quick, name, cleaned) AS merchant_norm FROM named LEFT JOIN fuzzy ON quick IS NULL AND cleaned = text")(
+    lambda l: C.normalized(l.drop("merchant_norm")).select("txn_id", "merchant_norm")
+)
+_TYPOS = f"""typos AS (SELECT p_partkey, CASE p_partkey // 40 % 4 WHEN 0 THEN substr(m, 1, k) || substr(m, k + 2) WHEN 1 THEN substr(m, 1, k) || 'Q' || substr(m, k + 1) WHEN 2 THEN 'STORE ' || substr(m, 1, k) || substr(m, k + 2) ELSE m || ' 12 ' || substr(m, 1, k) END AS text
+FROM (SELECT *, CAST(p_partkey // 160 % len(m) AS INT) AS k FROM (SELECT p_partkey, upper({views._list(MERCHANTS)}[CAST(p_partkey % {len(MERCHANTS)} + 1 AS INT)]) AS m FROM part)))"""
+
+
+@query("j7_fuzzy_join", None, f", {_TYPOS}, {_fuzzy('SELECT text FROM typos')} SELECT p_partkey, text, name AS merchant FROM typos LEFT JOIN fuzzy USING (text)")
+def _j7(spark, sf_dir):
+    """Merchants' names as people misspell them, one for each part, and the names they are taken for."""
+    from ..operators.fuzzy import best_names
+
+    key = F.col("p_partkey")
+    typos = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.upper(views._pick(MERCHANTS, key)).alias("m"))
+    m = F.col("m")
+    typos = typos.withColumn("k", (F.floor(key / 160) % F.length(m)).cast("int"))
+    head, kind = F.substring(m, F.lit(1), F.col("k")), F.floor(key / 40) % 4
+    without = F.concat(head, F.substring(m, F.col("k") + 2, F.length(m)))
+    text = F.when(kind == 0, without).when(kind == 1, F.concat(head, F.lit("Q"), F.substring(m, F.col("k") + 1, F.length(m)))).when(kind == 2, F.concat(F.lit("STORE "), without)).otherwise(F.concat(m, F.lit(" 12 "), head))
+    typos = typos.select("p_partkey", text.alias("text"))
+    return typos.join(best_names(typos, MERCHANTS, C.ALIAS_SCORE).withColumnRenamed("name", "merchant"), "text", "left").select("p_partkey", "text", "merchant")
+
+
 query("f5_rule_match", "ord", f", {_NAMED} SELECT txn_id, rule_category FROM ruled")(lambda l: _ruled(l).select("txn_id", "rule_category"))
 query("f6_rule_coverage", "ord", f", {_NAMED} SELECT raw_description, bool_or(rule_category IS NOT NULL) AS covered, count(*) AS n FROM ruled GROUP BY 1")(
     lambda l: _ruled(l).groupBy("raw_description").agg(F.bool_or(F.col("rule_category").isNotNull()).alias("covered"), F.count("*").alias("n"))
