@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_descriptor, domain_alias, keyword_category, subset_alias
 from ..schema import FALLBACK, INTERNAL_TRANSFER, KEYWORD_RULES, MERCHANT_RULES, MERCHANTS
 from .fuzzy import best_names
+from .keywords import first_keywords, rule_table
 
 ALIAS_SCORE = 85.0
+#: Rules that become expressions of the plan, at most.
+LITERAL_RULES = 64
 
 
 @dataclass(frozen=True)
@@ -79,9 +82,16 @@ def quick_names(ledger: DataFrame) -> DataFrame:
 
 
 def rule_category(ledger: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """rule_category by exact merchant, else by the first keyword. A few rules become expressions; larger sets are tables
+    that distinct merchants and descriptions are joined with."""
     rules = rules or Rules()
-    by_name = F.create_map(*[F.lit(x) for pair in rules.merchants.items() for x in pair]) if rules.merchants else F.lit(None).cast("map<string,string>")
-    return ledger.withColumn("rule_category", F.coalesce(by_name[F.col("merchant_norm")], keyword_category(F.col("raw_description"), rules.keywords)))
+    if len(rules.merchants) + len(rules.keywords) <= LITERAL_RULES:
+        by_name = F.create_map(*[F.lit(x) for pair in rules.merchants.items() for x in pair]) if rules.merchants else F.lit(None).cast("map<string,string>")
+        return ledger.withColumn("rule_category", F.coalesce(by_name[F.col("merchant_norm")], keyword_category(F.col("raw_description"), rules.keywords)))
+    names = ledger.sparkSession.createDataFrame(list(rules.merchants.items()), "merchant_norm string, _by_name string")
+    words = first_keywords(ledger.select(F.col("raw_description").alias("text")), rule_table(ledger.sparkSession, rules.keywords)).toDF("raw_description", "_by_word")
+    both = ledger.join(names, "merchant_norm", "left").join(words, "raw_description", "left")
+    return both.select(*[F.col(c) for c in ledger.columns], F.coalesce("_by_name", "_by_word").alias("rule_category"))
 
 
 def categorized(ledger: DataFrame, corrections: DataFrame | None = None, predictions: DataFrame | None = None, transfers: DataFrame | None = None, least: float = 0.6, rules: Rules | None = None) -> DataFrame:

@@ -128,6 +128,19 @@ def _j7(spark, sf_dir):
 
 
 query("f5_rule_match", "ord", f", {_NAMED} SELECT txn_id, rule_category FROM ruled")(lambda l: _ruled(l).select("txn_id", "rule_category"))
+
+
+@query("f5_keyword_table", None, "SELECT o_orderkey, value FROM (SELECT o_orderkey, o_custkey FROM orders) LEFT JOIN LATERAL (SELECT arg_min(p_name, p_partkey) AS value FROM part WHERE contains(upper(printf('paid %d to CUST#%d REF %d', o_orderkey, o_custkey, o_orderkey * 7919)), printf('#%d R', p_partkey))) ON true")
+def _f5_table(spark, sf_dir):
+    """Descriptions against a rule for each part: more rules than an expression can hold."""
+    from ..operators.keywords import first_keywords
+
+    key = F.col("p_partkey")
+    rules = spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("at"), F.format_string("#%d R", key).alias("keyword"), F.col("p_name").alias("value"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.format_string("paid %d to CUST#%d REF %d", "o_orderkey", "o_custkey", F.col("o_orderkey") * 7919).alias("text"))
+    return rows.join(first_keywords(rows, rules), "text", "left").select("o_orderkey", "value")
+
+
 query("f6_rule_coverage", "ord", f", {_NAMED} SELECT raw_description, bool_or(rule_category IS NOT NULL) AS covered, count(*) AS n FROM ruled GROUP BY 1")(
     lambda l: _ruled(l).groupBy("raw_description").agg(F.bool_or(F.col("rule_category").isNotNull()).alias("covered"), F.count("*").alias("n"))
 )
