@@ -135,6 +135,11 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return have[:n]
 
 
+def give_back() -> None:
+    """Return what Arrow keeps for later to the system: a worker that waits for its next task then holds little."""
+    pa.default_memory_pool().release_unused()
+
+
 class Bytes:
     """The texts of some rows as one byte buffer; row i is data[offsets[i]:offsets[i + 1]]."""
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bytes, byte_steps, crc_mod, documents, table, words, word_hashes
+from .common import Bytes, byte_steps, crc_mod, documents, give_back, table, words, word_hashes
 
 #: Labelled documents that are collected to fit the weights, at most.
 FIT_DOCS = 1500
@@ -207,6 +207,7 @@ def keep_good(docs: DataFrame, field: LineField, least: float = 0.5) -> DataFram
         for batch in batches:
             quality = [field.quality(Lines(b)) for b in byte_steps([batch])]
             yield batch.filter(pa.array(np.concatenate(quality) >= least)) if quality else batch
+            give_back()
 
     return docs.select(*names).mapInArrow(run, docs.schema)
 
