@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import service
-from .ingest import ingest
+from .ingest import load
 from .operators import classify
 from .operators.categorize import Rules
 from .operators.store import Store, acknowledged, top_anomalies
@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         s.add_argument("--account-id")
         if name == "ingest":
             s.add_argument("paths", nargs="+")
+            s.add_argument("--show", type=int, default=100, help="files that are listed")
         if name in ("ingest", "enrich"):
             s.add_argument("--model", help="folder of a saved category model")
             s.add_argument("--rules", help="JSON file of category rules")
@@ -46,8 +47,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("ledgerline").getOrCreate()
     store = Store(spark, a.store)
     if a.command == "ingest":
-        for r in ingest(spark, a.paths, store, a.account_id).collect():
+        summary, totals = load(spark, a.paths, store, a.account_id)
+        for r in summary.orderBy("file").limit(a.show).collect():
             print(f"{r['file']}: {r['parsed']} parsed, {r['skipped']} skipped, {r['deduped']} already there, {r['failed']} failed")
+            for reason in r["failures"]:
+                print(f"  {reason}")
+        print(", ".join(f"{n} {k}" for k, n in totals.items()))
     if a.command == "correct":
         store.correct(a.merchant, a.category)
     ledger = store.read()
@@ -65,7 +70,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command in ("ingest", "enrich", "correct"):
         model = classify.CategoryModel.load(a.model) if getattr(a, "model", None) else None
         rules = Rules.load(spark, a.rules) if getattr(a, "rules", None) else None
-        store.write(service.enriched(ledger, store.corrections(), model, rules))
+        if a.command == "enrich" or model or rules:
+            version = store.version()
+            store.write(service.enriched(store.read(), store.corrections(), model, rules), version)
+        else:
+            service.enrich_new(store)
         return 0
     if a.account_id:
         ledger = ledger.where(F.col("account_id") == a.account_id)

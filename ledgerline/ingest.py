@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.text import txn_id
+from .scratch import written
 from .sources.exports import read_exports
 
 
@@ -31,24 +32,36 @@ def transactions(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Failures that a report shows for a file; it counts all.
+SHOWN = 5
+
+
 def report(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """A row for each file: rows parsed, skipped, already stored and failed, with reasons."""
+    """A row for each file: rows parsed, skipped, already stored and failed, and the first reasons of failures."""
     counts = rows.groupBy("file").agg(
-        F.first("format", ignorenulls=True).alias("format"), F.count_if(F.col("status") == "ok").alias("parsed"), F.count_if(F.col("status") == "skipped").alias("skipped"),
-        F.count_if(F.col("status") == "failed").alias("failed"), F.collect_list("reason").alias("failures"),
+        F.first("format", ignorenulls=True).alias("format"), F.count_if(F.col("status") == "ok").alias("parsed"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "failed").alias("failed")
     )
+    first = F.row_number().over(Window.partitionBy("file").orderBy(F.asc_nulls_first("row_no"), "reason"))
+    failed = rows.where("status = 'failed'").select("file", "row_no", "reason").withColumn("at", first).where(F.col("at") <= SHOWN)
+    failed = failed.groupBy(F.col("file").alias("_file")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "reason"))), lambda x: x["reason"]).alias("failures"))
+    out = counts.join(failed, F.col("file") == F.col("_file"), "left").drop("_file").withColumn("failures", F.coalesce("failures", F.array().cast("array<string>")))
     if stored is None:
-        return counts.withColumn("deduped", F.lit(0).cast("long"))
-    again = transactions(rows).join(stored.select("txn_id"), "txn_id", "left_semi").groupBy(F.col("source_file").alias("file")).agg(F.count("*").alias("deduped"))
-    return counts.join(again, "file", "left").withColumn("deduped", F.coalesce("deduped", F.lit(0).cast("long")))
+        return out.withColumn("deduped", F.lit(0).cast("long"))
+    again = transactions(rows).join(stored.select("txn_id"), "txn_id", "left_semi").groupBy(F.col("source_file").alias("_file")).agg(F.count("*").alias("deduped"))
+    return out.join(again, F.col("file") == F.col("_file"), "left").drop("_file").withColumn("deduped", F.coalesce("deduped", F.lit(0).cast("long")))
+
+
+def load(spark: SparkSession, paths: str | list[str], store, account: str | None = None, layout: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """Read exports once, add what is new to the store; the report, and the totals (parsed, skipped, failed, added).
+
+    Files are parsed in one pass, which writes their rows; report, totals and the store read the columns they need of these.
+    """
+    rows = written(with_accounts(read_exports(spark, paths, layout), account), "exports")
+    summary = written(report(rows, store.read()), "report")
+    sums = summary.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("parsed", "skipped", "failed")]).first()
+    return summary, sums.asDict() | {"added": store.upsert(transactions(rows))}
 
 
 def ingest(spark: SparkSession, paths: str | list[str], store, account: str | None = None, layout: str | None = None) -> DataFrame:
     """Read exports, add what is new to the store, return the report."""
-    rows = with_accounts(read_exports(spark, paths, layout), account).cache()
-    old = store.read()
-    out = report(rows, old)
-    summary = spark.createDataFrame(out.collect(), out.schema)  # one row a file
-    store.upsert(transactions(rows))
-    rows.unpersist()
-    return summary
+    return load(spark, paths, store, account, layout)[0]

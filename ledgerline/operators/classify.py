@@ -36,45 +36,68 @@ def model_features(rows: DataFrame) -> DataFrame:
 
 
 @dataclass
-class CategoryModel:
+class Fold:
+    """A regression fitted without one part of the rows, and its calibration on that part: for each class, a curve as points."""
+
     pipeline: PipelineModel
+    steps: list[list[tuple[float, float]]]
+
+
+@dataclass
+class CategoryModel:
+    """Calibrated models of all folds; a row's probabilities are the mean of theirs."""
+
+    folds: list[Fold]
     index: StringIndexerModel
-    steps: list[list[tuple[float, float]]]  # of each class: the calibrated curve as points
 
     def save(self, path: str) -> None:
         """Write the model to a folder that load() reads; what stood there goes."""
-        self.pipeline.write().overwrite().save(f"{path}/pipeline")
         self.index.write().overwrite().save(f"{path}/index")
-        points = [(c, i, x, y) for c, curve in enumerate(self.steps) for i, (x, y) in enumerate(curve)]
-        SparkSession.active().createDataFrame(points, "class int, at int, x double, y double").coalesce(1).write.mode("overwrite").parquet(f"{path}/curves")
+        for i, fold in enumerate(self.folds):
+            fold.pipeline.write().overwrite().save(f"{path}/fold{i}")
+        points = [(i, c, k, x, y) for i, fold in enumerate(self.folds) for c, curve in enumerate(fold.steps) for k, (x, y) in enumerate(curve)]
+        SparkSession.active().createDataFrame(points, "fold int, class int, at int, x double, y double").coalesce(1).write.mode("overwrite").parquet(f"{path}/curves")
 
     @classmethod
     def load(cls, path: str) -> CategoryModel:
         index = StringIndexerModel.load(f"{path}/index")
-        steps: list[list[tuple[float, float]]] = [[] for _ in index.labels]
-        for r in SparkSession.active().read.parquet(f"{path}/curves").orderBy("class", "at").collect():  # a few points a class
-            steps[r["class"]].append((r["x"], r["y"]))
-        return cls(PipelineModel.load(f"{path}/pipeline"), index, steps)
+        steps: dict[int, list[list[tuple[float, float]]]] = {}
+        for r in SparkSession.active().read.parquet(f"{path}/curves").orderBy("fold", "class", "at").collect():  # a few points a class
+            steps.setdefault(r["fold"], [[] for _ in index.labels])[r["class"]].append((r["x"], r["y"]))
+        return cls([Fold(PipelineModel.load(f"{path}/fold{i}"), steps[i]) for i in sorted(steps)], index)
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows with model_category and model_confidence."""
-        p = vector_to_array("probability")
+        k = len(self.index.labels)
+        scored = model_features(rows)
+        for i, fold in enumerate(self.folds):
+            made = fold.pipeline.transform(scored)
+            raw = F.array(*[calibrated(F.get(vector_to_array("probability"), F.lit(c)), fold.steps[c]) for c in range(k)])
+            scored = made.select(*scored.columns, _shares(raw, k).alias(f"_p{i}"))
+        mean = lambda c: sum((F.get(f"_p{i}", F.lit(c)) for i in range(len(self.folds))), F.lit(0.0)) / len(self.folds)
+        scored = scored.withColumn("_p", F.array(*[mean(c) for c in range(k)]))
+        top = F.array_max("_p")
+        label = F.element_at(F.array(*map(F.lit, self.index.labels)), F.array_position("_p", top).cast("int"))
+        return scored.withColumns({"model_category": label, "model_confidence": top}).select(*rows.columns, "model_category", "model_confidence")
+
+
+def calibrated(p: Column, points: list[tuple[float, float]]) -> Column:
+    """The curve through points at p, level beyond its ends."""
+    out = F.lit(points[-1][1])
+    for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:], strict=False))):
+        out = F.when(p <= x1, y0 + (y1 - y0) * (F.greatest(p, F.lit(x0)) - x0) / (x1 - x0 or 1.0)).otherwise(out)
+    return out
 
-        def curve(k: int) -> Column:
-            points = self.steps[k]
-            out = F.lit(points[-1][1])
-            for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:], strict=False))):
-                out = F.when(p[k] <= x1, y0 + (y1 - y0) * (F.greatest(p[k], F.lit(x0)) - x0) / (x1 - x0 or 1.0)).otherwise(out)
-            return out
 
-        scored = self.pipeline.transform(model_features(rows)).withColumn("_c", F.array(*[curve(k) for k in range(len(self.steps))]))
-        top, whole = F.array_max("_c"), F.aggregate("_c", F.lit(0.0), lambda a, x: a + x)
-        label = F.element_at(F.array(*map(F.lit, self.index.labels)), F.array_position("_c", top).cast("int"))
-        return scored.withColumns({"model_category": label, "model_confidence": F.coalesce(F.try_divide(top, whole), F.lit(0.0))}).select(*rows.columns, "model_category", "model_confidence")
+def _shares(values: Column, k: int) -> Column:
+    """Values over their sum; all alike where the sum is 0."""
+    whole = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(values, lambda v: F.when(whole > 0, v / whole).otherwise(1.0 / k))
 
 
 def fit(rows: DataFrame, label: str = "category", folds: int = 3, max_iter: int = 2000) -> CategoryModel:
-    """Classes weigh alike. Each class's probability is calibrated on rows that the regression hasn't seen."""
+    """Classes weigh alike. A regression is fitted for each fold on the other folds, and each class's probability is
+    calibrated on the fold that it hasn't seen; predictions are means over the folds."""
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     data = model_features(index.transform(rows))
     by_class = Window.partitionBy("label")
@@ -87,19 +110,27 @@ def fit(rows: DataFrame, label: str = "category", folds: int = 3, max_iter: int
     ]
     pipeline = Pipeline(stages=stages)
     data = data.cache()
-    held = None
+    made = []
     for fold in range(folds):
-        part = pipeline.fit(data.where(F.col("fold") != fold)).transform(data.where(F.col("fold") == fold)).select("label", vector_to_array("probability").alias("p"))
-        held = part if held is None else held.unionByName(part)
-    held = held.cache()
-    steps = []
-    for c in range(k):
-        curve = IsotonicRegression(featuresCol="x").fit(held.select(F.get("p", F.lit(c)).alias("x"), (F.col("label") == c).cast("double").alias("label")))
-        steps.append(list(zip(curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist(), strict=True)))
-    model = CategoryModel(pipeline.fit(data), index, steps)
-    held.unpersist()
+        model = pipeline.fit(data.where(F.col("fold") != fold))
+        held = model.transform(data.where(F.col("fold") == fold)).select("label", vector_to_array("probability").alias("p")).cache()
+        steps = []
+        for c in range(k):
+            curve = IsotonicRegression(featuresCol="x").fit(held.select(F.get("p", F.lit(c)).alias("x"), (F.col("label") == c).cast("double").alias("label")))
+            steps.append(list(zip(curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist(), strict=True)))
+        held.unpersist()
+        made.append(Fold(model, steps))
     data.unpersist()
-    return model
+    return CategoryModel(made, index)
+
+
+def calibration_error(rows: DataFrame, truth: str = "category", bins: int = 10) -> DataFrame:
+    """(n, ece): the expected calibration error, the mean over rows of how far the share of right answers lies from the
+    mean confidence in bins of equal width. Rows without a confidence are left out."""
+    held = rows.where(F.col("model_confidence").isNotNull()).withColumn("bin", F.least(F.floor(F.col("model_confidence") * bins), F.lit(bins - 1)))
+    hit = F.coalesce((F.col("model_category") == F.col(truth)).cast("double"), F.lit(0.0))
+    each = held.groupBy("bin").agg(F.count("*").alias("n"), F.abs(F.sum(hit) - F.sum("model_confidence")).alias("off"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.try_divide(F.sum("off"), F.sum("n")).alias("ece"))
 
 
 def grouped_split(rows: DataFrame, share: float = 0.25) -> DataFrame:

@@ -1,17 +1,38 @@
-"""The stored ledger: a versioned Parquet table, insert-if-absent, guarded updates, corrections and acknowledgements."""
+"""The stored ledger: insert-if-absent, guarded updates, corrections and acknowledgements, and a store of append-only files
+with a log of commits."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: New rows whose keys are broadcast to the stored ones, at most.
+BROADCAST_KEYS = 1_000_000
+
+
 def absent(new: DataFrame, stored: DataFrame, key: str = "txn_id") -> DataFrame:
     """Rows of new, one a key, whose key isn't stored."""
     return new.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
 
 
+def absent_from_much(new: DataFrame, stored: DataFrame, n_new: int, key: str = "txn_id") -> DataFrame:
+    """absent() where much is stored: if few rows are new, their keys go to the stored ones, of which nothing is shuffled
+    but the keys that are met."""
+    if n_new > BROADCAST_KEYS:
+        return absent(new, stored, key)
+    keys = new.select(F.col(key).alias("_new")).distinct()
+    met = stored.select(key).join(F.broadcast(keys), F.col(key) == F.col("_new"), "left_semi").distinct()
+    return new.dropDuplicates([key]).join(F.broadcast(met), key, "left_anti")
+
+
 def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: an upsert log read as a table."""
     last = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
@@ -38,19 +59,150 @@ def top_anomalies(ledger: DataFrame, least: float = 0.9, limit: int = 20, accoun
     return rows.orderBy(F.desc("anomaly_score"), "txn_id").limit(limit)
 
 
+class WriteConflict(RuntimeError):
+    """Another writer changed what this one had read."""
+
+
+@dataclass
+class Folder:
+    """Files that one commit added: their rows, and the least and the greatest key, by which an upsert leaves folders out."""
+
+    path: str
+    at: int
+    rows: int
+    low: str | int | None
+    high: str | int | None
+
+
+@dataclass
+class State:
+    """What readers see at a version: folders since the last whole rewrite, and accounts whose earlier rows are replaced."""
+
+    version: int = 0
+    folders: list[Folder] = field(default_factory=list)
+    replaced: list[tuple[int, str]] = field(default_factory=list)
+
+
 class Store:
-    """Versions of a table under one folder; readers see the version that the pointer file names."""
+    """A ledger in one folder: files are added and never changed, and a commit is one small file in the log.
+
+    A commit adds a folder of files, adds one in place of all before (a rewrite), or adds one in place of the rows that some
+    accounts had before. Commits are numbered, and a number can be taken once: a writer that finds its number taken looks
+    at what the others did. An upsert then leaves out what they have added and takes the next number; a rewrite or a
+    replacement, which rests on what it read, raises WriteConflict. Files of a writer that fails are seen by no one.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _version(self) -> int:
+    # -- the log
+
+    def _entries(self) -> list[dict]:
         try:
-            return self.spark.read.text(f"{self.path}/current").agg(F.max(F.col("value").cast("long"))).first()[0]
+            rows = self.spark.read.text(f"{self.path}/log").collect()  # one line a commit
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return 0
+            return []
+        return sorted((json.loads(r.value) for r in rows), key=lambda x: x["version"])
+
+    def state(self) -> State:
+        s = State()
+        for x in self._entries():
+            s.version = x["version"]
+            if x["kind"] == "rewrite":
+                s.folders, s.replaced = [], []
+            if x["kind"] == "replace":
+                s.replaced.append((x["version"], x["accounts"]))
+            s.folders.append(Folder(x["folder"], x["version"], x["rows"], x["low"], x["high"]))
+        return s
+
+    def _commit(self, version: int, kind: str, folder: Folder, accounts: str | None = None) -> bool:
+        """Take a version number; False if another writer has it. The file system creates a file once at most."""
+        entry = {"version": version, "kind": kind, "folder": folder.path, "rows": folder.rows, "low": folder.low, "high": folder.high, "accounts": accounts}
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        file = hadoop.Path(f"{self.path}/log/{version:012d}.json")
+        system = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        try:
+            out = system.create(file, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        out.write(bytearray((json.dumps(entry) + "\n").encode()))
+        out.close()
+        return True
+
+    # -- rows
+
+    def _put(self, rows: DataFrame) -> Folder:
+        """Write rows into a folder of their own; count and key range come from the one column of what was written."""
+        path = f"{self.path}/data/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        got = self.spark.read.parquet(path).agg(F.count("*").alias("n"), F.min("txn_id").alias("low"), F.max("txn_id").alias("high")).first()
+        return Folder(path, 0, got.n, got.low, got.high)
+
+    def _rows(self, s: State) -> DataFrame | None:
+        if not s.folders:
+            return None
+        out = None
+        # rows that no later replacement touches need no look at their accounts
+        for f in s.folders:
+            part = self.spark.read.parquet(f.path)
+            for _, accounts in [x for x in s.replaced if x[0] > f.at]:
+                gone = self.spark.read.parquet(accounts).select(F.col("account_id").alias("_gone"))
+                part = part.join(gone, F.col("account_id").eqNullSafe(F.col("_gone")), "left_anti")
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
+    def read(self) -> DataFrame | None:
+        return self._rows(self.state())
+
+    def version(self) -> int:
+        return self.state().version
+
+    def write(self, rows: DataFrame, expected: int | None = None) -> None:
+        """Put rows in place of all. expected: the version that they were made from; if others have written since,
+        WriteConflict is raised and nothing changes. Without it, the version at the call counts."""
+        version = self.version() if expected is None else expected
+        if not self._commit(version + 1, "rewrite", self._put(rows)):
+            raise WriteConflict(f"version {version + 1} was written by another")
+
+    def replace_accounts(self, rows: DataFrame, accounts: DataFrame, expected: int | None = None) -> None:
+        """Put rows in place of all rows of these accounts; files of others stay as they are."""
+        version = self.version() if expected is None else expected
+        path = f"{self.path}/accounts/{uuid.uuid4().hex}"
+        accounts.select("account_id").distinct().write.parquet(path)
+        if not self._commit(version + 1, "replace", self._put(rows), path):
+            raise WriteConflict(f"version {version + 1} was written by another")
+
+    def upsert(self, new: DataFrame) -> int:
+        """Add the rows whose key isn't stored, one a key; how many. Only new files are written. If other writers commit
+        meanwhile, what they added is left out too, so that nothing is lost and nothing is twice."""
+        s = self.state()
+        rows = new.dropDuplicates(["txn_id"])
+        folder = self._put(self._unknown(rows, s, lambda f: True))
+        while folder.rows:
+            if self._commit(s.version + 1, "add", folder):
+                return folder.rows
+            before, s = s.version, self.state()
+            mine = self.spark.read.parquet(folder.path)
+            rewritten = not any(f.at <= before for f in s.folders)
+            left = self._unknown(mine, s, lambda f: rewritten or f.at > before)
+            folder = self._put(left)
+        return 0
+
+    def _unknown(self, rows: DataFrame, s: State, which: Callable[[Folder], bool]) -> DataFrame:
+        """rows whose keys stand in none of the folders that `which` takes. A folder whose keys are all less or all greater
+        isn't read. A replaced row's key still counts: its account has it in a later folder."""
+        folders = [f for f in s.folders if which(f) and f.rows]
+        if not folders:
+            return rows
+        r = rows.agg(F.count("*").alias("n"), F.min("txn_id").alias("low"), F.max("txn_id").alias("high")).first()
+        near = [f.path for f in folders if r.n and f.low <= r.high and r.low <= f.high]
+        return absent_from_much(rows, self.spark.read.parquet(*near).select("txn_id"), r.n) if near else rows
+
+    # -- what users say
 
     def _log(self, name: str, schema: str) -> DataFrame:
         """All entries of an append-only log beside the ledger; none before the first."""
@@ -80,17 +232,3 @@ class Store:
 
     def acks(self) -> DataFrame:
         return self._log("acks", "txn_id string").distinct()
-
-    def read(self) -> DataFrame | None:
-        v = self._version()
-        return self.spark.read.parquet(f"{self.path}/v{v}") if v else None
-
-    def write(self, rows: DataFrame) -> None:
-        """Write a whole new version, then move the pointer: a failed job leaves the old version in place."""
-        v = self._version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        self.spark.createDataFrame([(str(v),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
-
-    def upsert(self, new: DataFrame) -> None:
-        old = self.read()
-        self.write(new.dropDuplicates(["txn_id"]) if old is None else old.unionByName(absent(new, old), allowMissingColumns=True))

@@ -14,6 +14,7 @@ from ..operators import recurring as R
 from ..operators import transfers as X
 from ..operators.order_stats import with_expanding_median
 from ..schema import DOMAIN_ALIASES, KEYWORD_RULES, MERCHANT_RULES, MERCHANTS, PERIODS, PLACES
+from ..scratch import written
 from . import views
 
 FLAGSHIP = "d10_rule_score"
@@ -358,6 +359,24 @@ def _m3(l):
     return fit(l).predict(l).select("txn_id", "category", "model_category", "model_confidence")
 
 
+@query("m4_calibration", "ord")
+def _m4(l):
+    """How far the averaged model's confidences are from its precision, and what each threshold keeps."""
+    from ..operators.classify import calibration_error, fit, threshold_curve
+
+    said = written(fit(l).predict(l).select("category", "model_category", "model_confidence"), "predicted")
+    return threshold_curve(said).join(F.broadcast(calibration_error(said)))  # one row
+
+
+@query("m4_error", "ev", "SELECT sum(n) AS n, round(sum(off) / sum(n), 9) AS ece FROM (SELECT least(floor(conf * 10), 9) AS bin, count(*) AS n, abs(sum((said = category)::INT) - sum(conf)) AS off FROM (SELECT category, CASE WHEN txn_id % 4 = 0 THEN 'other' ELSE category END AS said, (txn_id * 37 % 100) / 100.0::DOUBLE AS conf FROM ev) GROUP BY 1)")
+def _m4_error(l):
+    from ..operators.classify import calibration_error
+
+    said = F.when(F.col("txn_id") % 4 == 0, "other").otherwise(F.col("category"))
+    rows = l.select("category", said.alias("model_category"), (F.col("txn_id") * 37 % 100 / 100.0).alias("model_confidence"))
+    return calibration_error(rows).select("n", r("ece", 9).alias("ece"))
+
+
 _SPLIT = """mm AS (SELECT DISTINCT category, merchant_norm FROM ord), mo AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5(merchant_norm), merchant_norm) AS k, count(*) OVER (PARTITION BY category) AS n FROM mm),
 split AS (SELECT ord.*, n > 1 AND k <= least(n - 1, greatest(1, round(n * 0.25::DOUBLE))) AS is_test FROM ord JOIN mo USING (category, merchant_norm))"""
 

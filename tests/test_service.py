@@ -38,7 +38,8 @@ def test_command_line_corrects_and_acknowledges(spark, tmp_path, capsys):
     run = lambda *a: cli.main([a[0], *a[1:], "--store", store], spark)
     assert cli.main(["version"], spark) == 0 and run("report") == 1
     assert run("ingest", chase(tmp_path / "in", lines)) == 0
-    assert "30 parsed, 0 skipped, 0 already there, 0 failed" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "30 parsed, 0 skipped, 0 already there, 0 failed" in said and "30 parsed, 0 skipped, 0 failed, 30 added" in said
     assert run("correct", "Kroger", "Mine>Own") == 0
     ledger = Store(spark, store).read()
     assert {r.category for r in ledger.where("merchant_norm = 'Kroger'").collect()} == {"Mine>Own"}
@@ -89,6 +90,9 @@ def test_model_is_saved_and_used(spark, tmp_path):
     told = lambda m: {r.txn_id: (r.model_category, round(r.model_confidence, 9)) for r in m.predict(ledger).collect()}
     assert told(classify.CategoryModel.load(str(tmp_path / "model"))) == told(model)
     assert {k: v[0] for k, v in told(model).items()} == {r[0]: r[5] for r in data}
+    assert len(model.folds) == 2 and classify.calibration_error(model.predict(ledger)).first().ece < 0.5
+    sure = spark.createDataFrame([("a", "a", 0.95), ("a", "b", 0.95), ("a", "a", 0.1), (None, "a", 1.0), ("a", "a", None)], "category string, model_category string, model_confidence double")
+    assert tuple(classify.calibration_error(sure).first()) == (4, pytest.approx((abs(1 - 2.9) + abs(1 - 0.1)) / 4)) and classify.calibration_error(sure.limit(0)).first().n == 0
     split = classify.row_split(ledger)
     assert not classify.disjoint(split) and classify.disjoint(ledger.withColumn("is_test", F.col("merchant_norm") == "CAFE"))
     assert classify.macro_f1(classify.word_model(split), "category", "model_category") == 1.0

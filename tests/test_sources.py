@@ -4,11 +4,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerline.ingest import ingest, report, with_accounts
+from ledgerline.ingest import ingest, load, report, with_accounts
 from ledgerline.operators.categorize import indel, token_set_score
 from ledgerline.operators.store import Store
 from ledgerline.sources.exports import decoded, detect, read_exports
 
+# Texts of the formats.
 FILES = {
     "chase.csv": "Details,Posting Date,Description,Amount,Type\nDEBIT,01/15/2026,SQ *BLUE BOTTLE COF 4155551234 CA,-4.75,ACH\nCREDIT,1/16/2026,ACME CORP PAYROLL,2600.00,ACH\n",
     "boa.csv": "Account,x\nFrom,y\n,\n,\n,\nDate,Description,Debit,Credit\n01/15/2026,SQ *BLUE BOTTLE COF 4155551234 CA,4.75,\n01/16/2026,ACME CORP PAYROLL,,2600.00\n",
@@ -47,6 +48,14 @@ def test_bad_rows_fail_alone(spark, tmp_path):
     assert got == {"a.csv": (1, 1, 3), "b.csv": (0, 0, 1), "c.csv": (0, 0, 1)}
 
 
+def test_reports_show_the_first_failures_and_count_all(spark, tmp_path, tmp_path_factory):
+    (tmp_path / "a.csv").write_text("Details,Posting Date,Description,Amount,Type\n" + "x,1/2/2026,a,?,b\n" * 40 + "x,1/2/2026,a,1,b\n\n")
+    summary, totals = load(spark, str(tmp_path), Store(spark, str(tmp_path_factory.mktemp("store"))))
+    r = summary.first()
+    assert totals == {"parsed": 1, "skipped": 1, "failed": 40, "added": 1} and (r.parsed, r.failed) == (1, 40)
+    assert r.failures == [f"row {i}: bad amount" for i in range(2, 7)]
+
+
 def test_ingest_twice_adds_nothing(spark, folder, tmp_path_factory):
     store = Store(spark, str(tmp_path_factory.mktemp("store")))
     ingest(spark, str(folder), store)
