@@ -418,6 +418,46 @@ def test_verbatim_notices(spark, mark):
     assert got[0][0] == ["apache2.name", "apache2.copy"] and got[4][0] == ["reserved"] and got[5][1] == ["MIT"]
 
 
+ZLIB = """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented.
+3. This notice may not be removed or altered from any source distribution.
+"""
+
+
+@pytest.mark.parametrize("text, found", [
+    ("# Licensed under the MIT\n# License.", ["MIT"]), ("// This work is licensed under the GNU General Public\n// License, version 3.", ["GPL-3.0"]), ("/* Released under the Apache License,\n * Version 2.0 */", ["Apache-2.0"]),
+    ("Released\n-- under the\n-- MIT license\n", ["MIT"]), ("# SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]), ("// SPDX-License-Identifier: LGPL-3.0-or-later\n// next", ["LGPL-3.0-or-later"]), (ZLIB, ["Zlib"]),
+    ("we like the mit license very much", []), ("unlicensed under the mit license", []), ("", []), (None, []), ("MIT License", ["MIT"]), ("a. MIT license. MIT license! b", ["MIT"]), ("x" * 40000 + "\nMIT License\n" + "-" * 40000, ["MIT"]),
+])
+def test_short_notices_however_wrapped(spark, text, found):
+    rows = spark.createDataFrame([(None, text, 1), (1, text, 2), (1, text, 3)], "doc_id long, text string, identifiers int")
+    assert [r.licenses for r in licenses.scan(rows).collect()] == [found] * 3
+
+
+def test_every_known_sentence_passes_the_hint():
+    assert [s for s in licenses.KNOWN if not re.search(licenses.HINT, s)] == []
+    assert {x for r in licenses.RULES for x in r.sequence} <= set(licenses.SENTENCES)
+
+
+def test_op9_and_its_statement(spark, tmp_path, docs):
+    """The statement does what the code does, on notices too."""
+    import duckdb
+
+    from ledgerline.llm import registry
+
+    notices = [m + x.replace("\n", "\n" + m) for x in (APACHE, GPL.format(": ", ", ", 3), MPL, ZLIB, "Released under the\nMIT License.") for m in ("", "# ", " * ")]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(notices, 500)), "doc_id long, text string"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    names = ["doc_id", "n_sentences", "identifiers", "licenses"]
+    got = registry.queries()["op9_licenses"](spark, str(tmp_path))
+    assert got.columns == names and sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, con.sql(registry.oracle_sql()["op9_licenses"]).select(*names).fetchall()))
+    assert got.where("licenses <> ''").count() >= len(notices)
+
+
 @pytest.mark.parametrize(
     "run",
     [lambda d: pii.find(d, pii.PiiModel()), secrets.find, jaccard.similar_groups, repeats.remove_repeats, scoring.score_documents, licenses.scan, lambda d: bpe.encode_documents(d, bpe.public_path()), lambda d: pii.redact(d)],
