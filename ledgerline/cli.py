@@ -86,7 +86,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{r['posted_date']}  {r['amount']:>10.2f}  {r['anomaly_score']:.3f}  {r['raw_description']}  {', '.join(r['anomaly_reasons'] or [])}")
     else:
         alerts = service.recurring_alerts(ledger)
-        for r in alerts["audit"].orderBy(F.desc("annualized")).collect():
+        for r in service.in_audit_order(alerts["audit"]).orderBy(F.desc("annualized"), "account_id", "place").collect():
             print(f"{r['merchant_norm']:<30} {r['period']:<10} {r['monthly']:>10.2f} a month")
         for name in ("price_hikes", "missed_charges", "duplicate_billing"):
             print(f"{name}: {alerts[name].count()}")

@@ -13,8 +13,9 @@ from ..operators import detect as D
 from ..operators import recurring as R
 from ..operators import transfers as X
 from ..operators.order_stats import with_expanding_median
-from ..schema import DOMAIN_ALIASES, KEYWORD_RULES, MERCHANT_RULES, MERCHANTS, PERIODS, PLACES
+from ..schema import BANK_HINTS, DOMAIN_ALIASES, KEYWORD_RULES, MERCHANT_RULES, MERCHANTS, PERIODS, PLACES
 from ..scratch import written
+from .. import service as S
 from . import views
 
 FLAGSHIP = "d10_rule_score"
@@ -368,7 +369,7 @@ def _m4(l):
     return threshold_curve(said).join(F.broadcast(calibration_error(said)))  # one row
 
 
-@query("m4_error", "ev", "SELECT sum(n) AS n, round(sum(off) / sum(n), 9) AS ece FROM (SELECT least(floor(conf * 10), 9) AS bin, count(*) AS n, abs(sum((said = category)::INT) - sum(conf)) AS off FROM (SELECT category, CASE WHEN txn_id % 4 = 0 THEN 'other' ELSE category END AS said, (txn_id * 37 % 100) / 100.0::DOUBLE AS conf FROM ev) GROUP BY 1)")
+@query("m4_error", "ev", "SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(off) / sum(n), 9) AS ece FROM (SELECT least(floor(conf * 10), 9) AS bin, count(*) AS n, abs(sum((said = category)::INT) - sum(conf)) AS off FROM (SELECT category, CASE WHEN txn_id % 4 = 0 THEN 'other' ELSE category END AS said, (txn_id * 37 % 100) / 100.0::DOUBLE AS conf FROM ev) GROUP BY 1)")
 def _m4_error(l):
     from ..operators.classify import calibration_error
 
@@ -486,3 +487,27 @@ def _v2(spark, sf_dir):
     from ..operators.trailing import bursts
 
     return bursts(_timed(spark, sf_dir), gap="2 hours", small=20.0, least=2, large=50.0)
+
+
+@query("w7_capital_one_lines", "ord", f"""SELECT concat_ws(',', strftime(posted_date, '%Y-%m-%d'), strftime(posted_date, '%Y-%m-%d'), raw_description, hint, CASE WHEN amount < 0 THEN printf('%.2f', abs(amount)) ELSE '' END, CASE WHEN amount < 0 THEN '' ELSE printf('%.2f', abs(amount)) END) AS value
+FROM (SELECT *, CASE WHEN CAST('0x' || substr(md5(CAST(txn_id AS VARCHAR)), 1, 4) AS INT) % 4 = 0 THEN {views._list(BANK_HINTS)}[CAST('0x' || substr(md5(CAST(txn_id AS VARCHAR)), 5, 4) AS INT) % {len(BANK_HINTS)} + 1] ELSE split_part(category, '>', 2) END AS hint FROM ord)
+UNION ALL SELECT 'Transaction Date,Posted Date,Description,Category,Debit,Credit'""")
+def _w7_capital_one(l):
+    from ..sources.writers import rendered
+
+    return rendered(l, "capital_one").select("value")
+
+
+@query("d18_listing", "ord", f", {_RULES} SELECT txn_id, account_id, anomaly_score FROM (SELECT *, {_PCT} AS anomaly_score FROM scored) WHERE anomaly_score >= 0.9 AND account_id = 7 AND txn_id % 5 <> 0 ORDER BY anomaly_score DESC, txn_id LIMIT 50")
+def _d18(l):
+    """What users look at: an account's highest scores that nobody has acknowledged. Every fifth order is."""
+    from ..operators.store import acknowledged, top_anomalies
+
+    rows = D.rule_scores(l).withColumn("rule_score", r("rule_score", 6)).withColumn("anomaly_score", r(D.percentile_of_history("rule_score"), 9))
+    acks = l.where(F.col("txn_id") % 5 == 0).select("txn_id")
+    return top_anomalies(acknowledged(rows, acks), 0.9, 50, 7).select("txn_id", "account_id", "anomaly_score")
+
+
+query("t4_audit_order", "plant", f", {_PLANT}, audit AS (SELECT {ROW}, period, round(avg(abs(amount)) * a, 2) AS annualized FROM (SELECT *, CASE period {' '.join(f"WHEN '{n}' THEN {y}" for n, _, _, y in PERIODS)} ELSE 12 END AS a FROM mem) GROUP BY {ROW}, period, a) SELECT {ROW}, annualized, row_number() OVER (PARTITION BY account_id ORDER BY annualized DESC, merchant_norm, period) AS place FROM audit")(
+    lambda l: S.in_audit_order(R.subscription_audit(l, R.recurring_groups(l))).select("account_id", "merchant_norm", "annualized", "place")
+)

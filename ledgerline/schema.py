@@ -24,6 +24,7 @@ MERCHANT_RULES = {
 KEYWORD_RULES = {
     "OVERDRAFT FEE": "Fees & Interest>Bank Fees", "MONTHLY SERVICE FEE": "Fees & Interest>Bank Fees", "INTEREST CHARGE ON PURCHASES": "Fees & Interest>Interest Charges", "INTEREST PAYMENT": "Income>Interest",
 }
+# Words that mark a transfer.
 TRANSFER_WORDS = "TRANSFER|ZELLE|PAYMENT THANK YOU|PMT TO|PAYMENT"
 INTERNAL_TRANSFER = "Transfers>Internal Transfer"
 FALLBACK = "Other>Uncategorized"
@@ -36,3 +37,5 @@ HEADERS = {
     "capital_one": ["Transaction Date", "Posted Date", "Description", "Category", "Debit", "Credit"],
     "generic_credit": ["Date", "Description", "Amount", "Type"],
 }
+# Categories that one bank prints beside a transaction whether they fit or not.
+BANK_HINTS = ["Merchandise", "Dining", "Travel-Airfare", "Groceries", "Payment/Credit", "Fees", "Gas/Automotive", "Entertainment"]

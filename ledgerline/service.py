@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import categorize, forest, recurring, transfers
@@ -90,6 +90,12 @@ def recurring_alerts(ledger: DataFrame, as_of: Column | None = None) -> dict[str
     }
 
 
+def in_audit_order(audit: DataFrame) -> DataFrame:
+    """audit with `place`: an account's subscriptions from the dearest on, by what they cost a year."""
+    dearest = Window.partitionBy("account_id").orderBy(F.desc("annualized"), "merchant_norm", "period")
+    return audit.withColumn("place", F.row_number().over(dearest).cast("long"))
+
+
 def page(ledger: DataFrame, account: str | None = None, category: str | None = None, least: float | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     rows = ledger
     for column, value in (("account_id", account), ("category", category)):

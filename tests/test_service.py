@@ -111,6 +111,16 @@ def test_written_exports_are_read_again(spark, tmp_path, layout):
     assert key(transactions(back)) == key(ledger)
 
 
+def test_written_category_hints(spark, tmp_path):
+    from ledgerline.schema import BANK_HINTS
+
+    ledger = rows(spark, 400).where("account_id = 'one'").withColumn("category", F.when(F.col("txn_id") > "k3", "Food & Drink>Own, \"x\""))
+    write_export(ledger, str(tmp_path / "out"), "capital_one", "one")
+    back = read_exports(spark, str(tmp_path / "out" / "part*")).where("status = 'ok'").groupBy("category_hint").count().collect()
+    got = {r.category_hint: r["count"] for r in back}
+    assert set(got) == {*BANK_HINTS, 'Own, "x"', ""} and 0.15 < sum(got[h] for h in BANK_HINTS) / sum(got.values()) < 0.35
+
+
 def test_a_stray_quote_does_not_fail_a_file(spark, tmp_path):
     path = chase(tmp_path / "in", ['DEBIT,01/02/2025,THE "OLD" INN,-5.00,ACH', 'DEBIT,01/03/2025,"A"B,-6.00,ACH'])
     assert [r.status for r in read_exports(spark, path).collect()] == ["ok", "ok"]
