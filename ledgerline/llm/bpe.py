@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, Bytes, byte_steps, documents, mix, powers, table
+from .common import _INVERSE, Bytes, byte_steps, documents, left_behind, mix, powers, table
 
 #: A chunk begins at a space if the hash of what precedes it is divisible by this.
 CUT_EVERY = 128
@@ -197,6 +197,9 @@ def worker_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+left_behind.append(worker_encoder.cache_clear)
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if kept, ids (array<int>) and decoded (string).
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,8 +135,14 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     return have[:n]
 
 
+#: What an operator's tasks leave in a worker for its next tasks, as functions that drop it.
+left_behind: list[Callable[[], None]] = []
+
+
 def give_back() -> None:
-    """Return what Arrow keeps for later to the system: a worker that waits for its next task then holds little."""
+    """Return to the system what Arrow keeps for later, and what tasks of other operators left in this worker."""
+    for drop in left_behind:
+        drop()
     pa.default_memory_pool().release_unused()
 
 
