@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from . import service
+from . import scratch, service
 from .ingest import load
 from .operators import classify
 from .operators.categorize import Rules
@@ -45,6 +45,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(VERSION)
         return 0
     spark = spark or SparkSession.builder.appName("ledgerline").getOrCreate()
+    try:
+        return run(spark, a)
+    finally:
+        scratch.clear(spark)
+
+
+def run(spark: SparkSession, a: argparse.Namespace) -> int:
+    """One command on its store; what it prints is all that is left of its intermediate tables."""
     store = Store(spark, a.store)
     if a.command == "ingest":
         summary, totals = load(spark, a.paths, store, a.account_id)

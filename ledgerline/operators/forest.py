@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .detect import account_order, by_account, in_order, percentile_of_history, rule_scores
 
 TREES, SAMPLE = 100, 256
@@ -113,7 +114,7 @@ def forest_scores(ledger: DataFrame, pool: int = POOL, chunk: int = CHUNK) -> Da
     kind = dict(ledger.dtypes)
     rows = features(ledger).select("txn_id", "account_id", *[F.col(c).cast("double").alias(c) for c in FEATURES], F.count("*").over(by_account()).alias("n"), F.xxhash64("txn_id").alias("h"))
     chunks = F.ceil(F.col("n") / chunk)
-    rows = rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.col("h"), F.col("chunks")))
+    rows = written(rows.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.col("h"), F.col("chunks"))), "features")
     # half again as many rows as the pool needs pass by their hashes alone; the smallest of these are the pool
     odds = F.shiftrightunsigned("h", 11) / float(1 << 53)
     likely = rows.where((F.col("n") <= 2 * pool) | (odds < 1.5 * pool / F.col("n"))).withColumn("odds", odds)

@@ -118,19 +118,28 @@ class Store:
         return s
 
     def _commit(self, version: int, kind: str, folder: Folder, accounts: str | None = None) -> bool:
-        """Take a version number; False if another writer has it. The file system creates a file once at most."""
+        """Take a version number; False if another writer has it. The entry is written whole beside the log and then gets
+        its name there, which can be given once: a writer that fails on the way leaves the log as it was."""
         entry = {"version": version, "kind": kind, "folder": folder.path, "rows": folder.rows, "low": folder.low, "high": folder.high, "accounts": accounts}
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        file = hadoop.Path(f"{self.path}/log/{version:012d}.json")
-        system = file.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        try:
-            out = system.create(file, False)
-        except Py4JJavaError as e:
-            if "AlreadyExists" in str(e.java_exception):
-                return False
-            raise
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path
+        draft, name = at(f"{self.path}/drafts/{uuid.uuid4().hex}.json"), at(f"{self.path}/log/{version:012d}.json")
+        system = draft.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = system.create(draft, False)
         out.write(bytearray((json.dumps(entry) + "\n").encode()))
         out.close()
+        system.mkdirs(name.getParent())
+        if system.getScheme() != "file":
+            return system.rename(draft, name)  # fails where the name is taken
+        local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:  # a local rename would take the name over; a link doesn't
+            jvm.java.nio.file.Files.createLink(local(name), local(draft))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+        finally:
+            system.delete(draft, False)
         return True
 
     # -- rows

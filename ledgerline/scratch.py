@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder in the warehouse where that is unset."""
+    """The application's folder in spark.checkpoint.dir, or in the warehouse where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    root = root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written here; nothing may read it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
