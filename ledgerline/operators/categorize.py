@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_descriptor, domain_alias, keyword_category, subset_alias
 from ..schema import FALLBACK, INTERNAL_TRANSFER, KEYWORD_RULES, MERCHANT_RULES, MERCHANTS
+from ..scratch import written
 from .fuzzy import best_names
 from .keywords import first_keywords, rule_table
 
@@ -67,7 +68,7 @@ def fuzzy_merchants(texts: DataFrame, least: float = ALIAS_SCORE) -> DataFrame:
 
 def normalized(ledger: DataFrame) -> DataFrame:
     """merchant_norm for every row. Scoring runs over the distinct texts that neither an alias nor whole words settle."""
-    names = quick_names(ledger)
+    names = written(quick_names(ledger), "names")  # read three times, and dear to make
     slow = fuzzy_merchants(names.where(F.col("quick").isNull() & (F.col("cleaned") != "")))
     names = names.join(slow, "cleaned", "left").select("raw_description", F.coalesce("quick", "merchant", "cleaned").alias("merchant_norm"))
     return ledger.join(names, "raw_description", "left").select(*ledger.columns, "merchant_norm")

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 #: Letters of a name at most: a name is one 64-bit number in longest_common.
 NAME_LETTERS = 60
 #: Rows of the index that are broadcast, at most; a larger one is joined as any table.
@@ -112,7 +114,7 @@ def best_names(texts: DataFrame, names: Sequence[str], least: float) -> DataFram
     Empty texts and nulls have none. Texts meet names through shared words and letter pairs, never all with all.
     """
     table = name_table(texts.sparkSession, names)
-    given = texts.where("text IS NOT NULL").select("text").distinct().withColumn("words", word_set(F.col("text")))
+    given = written(texts.where("text IS NOT NULL").select("text").distinct().withColumn("words", word_set(F.col("text"))), "texts")
     pairs = candidates(given, table, least).join(given, "text").join(F.broadcast(table) if len(names) <= BROADCAST_ROWS else table, "no")
     scored = pairs.withColumn("score", score(F.col("words"), F.col("own"))).where(F.col("score") >= least)
     return scored.groupBy("text").agg(F.max_by("name", F.struct("score", -F.col("no"))).alias("name"))
