@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import categorize, detect, forest, recurring, transfers
 from ledgerline.operators.store import acknowledged, latest, top_anomalies, updated
+from ledgerline.plans import views
 
 COLUMNS = "txn_id long, account_id string, posted_date date, amount double, merchant_norm string, category string, raw_description string"
 DAY = dt.date(2025, 1, 15)
@@ -121,3 +122,18 @@ def test_registered_classifier_fits_in_full(spark, monkeypatch):
     with pytest.raises(Stop) as stopped:
         catalog.queries()["m3_classifier"](spark, "/root/testdata/sf0.001")
     assert folds == [3] and stopped.value.args == (2000, 2**31 - 1)
+
+
+def test_groups_and_their_rows_meet_without_a_broadcast_in_tasks_of_bounded_size(spark, monkeypatch, tmp_path):
+    """Spark guesses ledgers that are made from few bytes to be small; d12_price_hike and n7_dup_billing broadcast theirs."""
+    monkeypatch.setattr(detect, "TASK_ROWS", 100)
+    spark.range(400).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    rows = views.planted(spark, str(tmp_path))
+    groups = recurring.recurring_groups(rows)
+    for made in (recurring.members(rows, groups), recurring.price_hikes(rows, groups), recurring.duplicate_billing(rows, groups), recurring.subscription_audit(rows, groups), detect.new_merchant(rows, groups)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    dealt = recurring.members(rows, groups).groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) > 40 and max(r["count"] for r in dealt) < 400 and sum(r["count"] for r in dealt) == rows.count()
+    odd = spark.createDataFrame([(i, i % 4, dt.date(2025, 1, 1 + i), float(i * i % 7)) for i in range(10)], "txn_id int, account_id int, posted_date date, amount double").withColumn("merchant_norm", F.lit("m"))
+    last = {a: sorted(i * i % 7 for i in range(10) if i % 4 == a)[-3:] for a in range(4)}
+    assert {r.account_id: r.band_mid for r in recurring.group_stats(odd).collect()} == {a: (v[1] if len(v) == 3 else sum(v) / 2) for a, v in last.items()}
