@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import amount_bucket, clean_descriptor
+from ..scratch import written
 
 NUMBERS = ["bucket", "outflow", "weekday", "weekend"]
+#: All that the model sees of a row: rows that agree in it are one kind.
+KIND = ["raw_description", "merchant_norm", *NUMBERS]
+#: Kinds of rows, with their folds and labels, that one task holds, about.
+TASK_KINDS = 10_000
 #: Terms of a vocabulary at most: as many as there can be.
 ALL = (1 << 31) - 1
 
@@ -29,10 +36,14 @@ def ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     return F.flatten(F.transform(words, lambda w: F.concat(*[of(w, n) for n in range(low, high + 1)])))
 
 
-def model_features(rows: DataFrame) -> DataFrame:
-    text = F.trim(F.concat_ws(" ", clean_descriptor(F.col("raw_description")), F.col("merchant_norm")))
+def numbers(rows: DataFrame) -> DataFrame:
     day = F.weekday("posted_date")
-    return rows.withColumns({"grams": ngrams(text), "bucket": amount_bucket(F.col("amount")).cast("double"), "outflow": (F.col("amount") < 0).cast("double"), "weekday": day.cast("double"), "weekend": (day >= 5).cast("double")})
+    return rows.withColumns({"bucket": amount_bucket(F.col("amount")).cast("double"), "outflow": (F.col("amount") < 0).cast("double"), "weekday": day.cast("double"), "weekend": (day >= 5).cast("double")})
+
+
+def grams_of(kinds: DataFrame) -> DataFrame:
+    text = F.trim(F.concat_ws(" ", clean_descriptor(F.col("raw_description")), F.col("merchant_norm")))
+    return kinds.withColumn("grams", ngrams(text))
 
 
 @dataclass
@@ -67,9 +78,9 @@ class CategoryModel:
         return cls([Fold(PipelineModel.load(f"{path}/fold{i}"), steps[i]) for i in sorted(steps)], index)
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        """rows with model_category and model_confidence."""
+        """rows with model_category and model_confidence, which are computed once for each kind."""
         k = len(self.index.labels)
-        scored = model_features(rows)
+        scored = grams_of(numbers(rows).select(*KIND).distinct())
         for i, fold in enumerate(self.folds):
             made = fold.pipeline.transform(scored)
             raw = F.array(*[calibrated(F.get(vector_to_array("probability"), F.lit(c)), fold.steps[c]) for c in range(k)])
@@ -78,15 +89,18 @@ class CategoryModel:
         scored = scored.withColumn("_p", F.array(*[mean(c) for c in range(k)]))
         top = F.array_max("_p")
         label = F.element_at(F.array(*map(F.lit, self.index.labels)), F.array_position("_p", top).cast("int"))
-        return scored.withColumns({"model_category": label, "model_confidence": top}).select(*rows.columns, "model_category", "model_confidence")
+        said = scored.select(*[F.col(c).alias(f"_{c}") for c in KIND], label.alias("model_category"), top.alias("model_confidence"))
+        given = numbers(rows.select(F.struct("*").alias("_row"), "raw_description", "merchant_norm", "amount", "posted_date"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KIND]
+        return given.join(said, same).select("_row.*", "model_category", "model_confidence")
 
 
 def calibrated(p: Column, points: list[tuple[float, float]]) -> Column:
     """The curve through points at p, level beyond its ends."""
-    out = F.lit(points[-1][1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:], strict=False))):
-        out = F.when(p <= x1, y0 + (y1 - y0) * (F.greatest(p, F.lit(x0)) - x0) / (x1 - x0 or 1.0)).otherwise(out)
-    return out
+    out = F
+    for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
+        out = out.when(p <= x1, y0 + (y1 - y0) * (F.greatest(p, F.lit(x0)) - x0) / (x1 - x0 or 1.0))
+    return F.lit(points[-1][1]) if out is F else out.otherwise(points[-1][1])
 
 
 def _shares(values: Column, k: int) -> Column:
@@ -95,32 +109,50 @@ def _shares(values: Column, k: int) -> Column:
     return F.transform(values, lambda v: F.when(whole > 0, v / whole).otherwise(1.0 / k))
 
 
+def features(kinds: DataFrame) -> list:
+    """The stages up to the features, for kinds of which each stands for n rows: grams of two rows or more with their
+    inverse document frequencies, and numbers less their means over their deviations."""
+    found = kinds.select("n", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.sum("n").alias("df")).where("df >= 2").orderBy("gram").collect()  # the vocabulary, which the model holds
+    rows = kinds.agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.col(c)).alias(c) for c in NUMBERS]).first()
+    mean = {c: rows[c] / rows["n"] for c in NUMBERS}
+    off = kinds.agg(*[F.sum(F.col("n") * (F.col(c) - mean[c]) ** 2).alias(c) for c in NUMBERS]).first()
+    scale = {c: math.sqrt((rows["n"] - 1) / off[c]) if off[c] > 0 else 0.0 for c in NUMBERS}
+    counts = CountVectorizerModel.from_vocabulary([r["gram"] for r in found], inputCol="grams", outputCol="tf")
+    counts.set(counts.vocabSize, ALL)
+    scaled = ", ".join(f"({c} - ({mean[c]!r}D)) * {scale[c]!r}D AS scaled_{c}" for c in NUMBERS)
+    return [
+        counts,
+        ElementwiseProduct(inputCol="tf", outputCol="tfidf", scalingVec=Vectors.dense([math.log((rows["n"] + 1) / (r["df"] + 1)) for r in found])), Normalizer(inputCol="tfidf", outputCol="text"),
+        SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), VectorAssembler(inputCols=["text", *[f"scaled_{c}" for c in NUMBERS]], outputCol="features"),
+    ]
+
+
 def fit(rows: DataFrame, label: str = "category", folds: int = 3, max_iter: int = 2000) -> CategoryModel:
     """Classes weigh alike. A regression is fitted for each fold on the other folds, and each class's probability is
-    calibrated on the fold that it hasn't seen; predictions are means over the folds."""
+    calibrated on the fold that it hasn't seen; predictions are means over the folds. All rows count; those of one kind,
+    label and fold are one row with their number as its weight, which gives the same model."""
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-    data = model_features(index.transform(rows))
     by_class = Window.partitionBy("label")
-    k, n = len(index.labels), data.count()
-    data = data.withColumn("weight", F.lit(float(n)) / (k * F.count("*").over(by_class))).withColumn("fold", F.row_number().over(by_class.orderBy(F.xxhash64("txn_id"))) % folds)
-    stages = [
-        CountVectorizer(inputCol="grams", outputCol="tf", minDF=2, vocabSize=ALL), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="text"),
-        VectorAssembler(inputCols=NUMBERS, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="numbers", withMean=True), VectorAssembler(inputCols=["text", "numbers"], outputCol="features"),
-        LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter, regParam=1e-3, standardization=False),
-    ]
-    pipeline = Pipeline(stages=stages)
-    data = data.cache()
+    k = len(index.labels)
+    data = numbers(index.transform(rows)).select("label", *KIND, F.xxhash64("txn_id").alias("hash"))
+    data = data.withColumn("fold", F.row_number().over(by_class.orderBy("hash")) % folds).groupBy("label", "fold", *KIND).agg(F.count("*").cast("double").alias("n"))
+    data = written(data, "kinds")
+    sizes = data.groupBy("label").agg((data.agg(F.sum("n")).first()[0] / (k * F.sum("n"))).alias("class_weight"))
+    data = data.join(F.broadcast(sizes), "label")  # a row for each class
+    tasks = max(1, -(-data.count() // TASK_KINDS))  # each step of a regression is a job
     made = []
     for fold in range(folds):
-        model = pipeline.fit(data.where(F.col("fold") != fold))
-        held = model.transform(data.where(F.col("fold") == fold)).select("label", vector_to_array("probability").alias("p")).cache()
+        train = grams_of(data.where(F.col("fold") != fold).coalesce(tasks)).withColumn("weight", F.col("class_weight") * F.col("n")).cache()
+        regression = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iter, regParam=1e-3, standardization=False)
+        model = Pipeline(stages=[*features(train), regression]).fit(train)
+        train.unpersist()
+        held = model.transform(grams_of(data.where(F.col("fold") == fold).coalesce(tasks))).select("label", "n", vector_to_array("probability").alias("p")).cache()
         steps = []
         for c in range(k):
-            curve = IsotonicRegression(featuresCol="x").fit(held.select(F.get("p", F.lit(c)).alias("x"), (F.col("label") == c).cast("double").alias("label")))
+            curve = IsotonicRegression(featuresCol="x", weightCol="n").fit(held.select(F.get("p", F.lit(c)).alias("x"), (F.col("label") == c).cast("double").alias("label"), "n"))
             steps.append(list(zip(curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist(), strict=True)))
         held.unpersist()
         made.append(Fold(model, steps))
-    data.unpersist()
     return CategoryModel(made, index)
 
 

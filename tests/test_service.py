@@ -166,3 +166,26 @@ def test_poisson_tail(spark):
     for count, mean in ((1, 0.5), (3, 1.2), (40, 20.0), (400, 380.0)):
         got = spark.range(1).select(detect.poisson_tail(F.lit(count), F.lit(mean)).alias("p")).first().p
         assert got == pytest.approx(1 - sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(count)), abs=1e-9)
+
+
+def test_kinds_with_weights_give_the_features_of_all_rows(spark):
+    """m3_classifier: a regression over all rows takes long where few of them differ."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StandardScaler, VectorAssembler
+
+    data = [(str(i), "a", DAY + dt.timedelta(days=i % 5), -float(5 + i % 3 * 40), f"SHOP {'ABC'[i % 3]} {'XY'[i % 2]}", "c", "M") for i in range(120)] + [("last", "a", DAY, 2.0, "ONCE ONLY", "c", None)]
+    rows = classify.grams_of(classify.numbers(spark.createDataFrame(data, COLUMNS + ", category string, merchant_norm string")))
+    kinds = rows.groupBy(*classify.KIND, "grams").agg(F.count("*").cast("double").alias("n"))
+    assert kinds.count() < 40
+    got = Pipeline(stages=classify.features(kinds)).fit(kinds).transform(kinds)
+    stages = [
+        CountVectorizer(inputCol="grams", outputCol="tf", minDF=2), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="text"), VectorAssembler(inputCols=classify.NUMBERS, outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="numbers", withMean=True), VectorAssembler(inputCols=["text", "numbers"], outputCol="features"),
+    ]
+    all_rows = Pipeline(stages=stages).fit(rows)
+    order, place = all_rows.stages[0].vocabulary, {g: i for i, g in enumerate(Pipeline(stages=classify.features(kinds)).fit(kinds).stages[0].vocabulary)}
+    want = {tuple(r[c] for c in classify.KIND): r.features.toArray() for r in all_rows.transform(rows).collect()}
+    assert set(order) == set(place)
+    for r in got.collect():
+        mine, theirs = r.features.toArray(), want[tuple(r[c] for c in classify.KIND)]
+        assert [mine[place[g]] for g in order] == pytest.approx(theirs[: len(order)].tolist()) and mine[-4:].tolist() == pytest.approx(theirs[-4:].tolist())
