@@ -1,4 +1,4 @@
-"""The first of many keywords that a text holds, by an index of the keywords' letters instead of one test after another."""
+"""The first of many keywords that a text holds, by an index of the keywords' ends instead of one test after another."""
 
 from __future__ import annotations
 
@@ -7,15 +7,17 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Letters of a keyword that the index goes by.
+#: Letters at both ends of a keyword by which texts are searched for where it may stand.
 GRAM = 3
-#: Keywords that are broadcast, at most; a larger index is joined as any table.
+#: Keywords that are broadcast, at most; a larger table is joined as any table.
 BROADCAST_KEYWORDS = 100_000
 
 
-def _grams(text: Column, n: int) -> Column:
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-    return F.when(F.length(text) >= n, F.transform(at, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def _runs(text: Column, n: int) -> Column:
+    """Each run of n letters with its place from 1; the empty run stands once."""
+    run = lambda i: F.struct(i.alias("at"), F.substring(text, i, F.lit(n)).alias("head"))
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))) if n else F.array(F.lit(1))
+    return F.when(F.length(text) >= n, F.transform(at, run)).otherwise(F.array().cast("array<struct<at:int,head:string>>"))
 
 
 def rule_table(spark: SparkSession, keywords: Mapping[str, str]) -> DataFrame:
@@ -23,23 +25,23 @@ def rule_table(spark: SparkSession, keywords: Mapping[str, str]) -> DataFrame:
     return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(keywords.items())], "at long, keyword string, value string")
 
 
-def keyword_index(rules: DataFrame) -> DataFrame:
-    """rules in upper case with `gram`: each keyword's rarest run of GRAM letters among all keywords, or itself where it is
-    shorter. An empty keyword stands in every text, under the empty run."""
-    table = rules.select("at", F.upper("keyword").alias("keyword"), "value")
-    long = table.where(F.length("keyword") >= GRAM).withColumn("gram", F.explode(F.array_distinct(_grams(F.col("keyword"), GRAM))))
-    common = long.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = long.join(common, "gram").groupBy("at", "keyword", "value").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return rarest.unionByName(table.where(F.length("keyword") < GRAM).withColumn("gram", F.col("keyword")))
-
-
 def first_keywords(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(text, value) for distinct texts: the value of the first rule (at, keyword, value), by `at`, whose keyword the text
-    holds in any case. Texts without one, and nulls, have no row. A text meets the keywords of which it has the rarest
-    letters, and is searched for those alone."""
+    holds in any case. Texts without one, and nulls, have no row.
+
+    Where a text has the first letters of keywords, the pieces of these keywords' lengths are cut from it, and of them
+    those stay that end as a keyword of their length does. Both are small tables, however many keywords there are. A piece
+    then meets the keyword that it equals, so no text meets keywords that it doesn't hold.
+    """
     given = texts.where("text IS NOT NULL").select("text").distinct().withColumn("upper", F.upper("text"))
-    index = keyword_index(rules)
-    index = F.broadcast(index) if rules.count() <= BROADCAST_KEYWORDS else index
-    grams = F.concat(*[_grams(F.col("upper"), n) for n in range(1, GRAM + 1)], F.array(F.lit("")))
-    met = given.withColumn("gram", F.explode(F.array_distinct(grams))).join(index, "gram").where(F.col("upper").contains(F.col("keyword")))
-    return met.groupBy("text").agg(F.min_by("value", "at").alias("value"))
+    table = rules.groupBy(F.upper("keyword").alias("keyword")).agg(F.min("at").alias("at"), F.min_by("value", "at").alias("value")).where("keyword IS NOT NULL")
+    size, none = F.length("keyword"), F.array().cast("array<struct<at:int,head:string>>")
+    seen = table.agg(F.count("*").alias("n"), F.collect_set(F.least(size, F.lit(GRAM))).alias("sizes")).first()
+    heads = table.groupBy(F.substring("keyword", 1, GRAM).alias("head")).agg(F.collect_set(size).alias("sizes"))
+    tails = table.select(size.alias("size"), F.right("keyword", F.lit(GRAM)).alias("tail")).distinct()
+    runs = given.select("text", "upper", F.explode(F.concat(none, *[_runs(F.col("upper"), n) for n in sorted(seen["sizes"])])).alias("run"))
+    cut = runs.select("text", "upper", "run.*").join(F.broadcast(heads), "head").select("text", "upper", "at", F.explode("sizes").alias("size"))
+    cut = cut.where(F.col("at") + F.col("size") - 1 <= F.length("upper")).withColumn("piece", F.substring("upper", F.col("at"), F.col("size")))
+    cut = cut.withColumn("tail", F.right("piece", F.lit(GRAM))).join(F.broadcast(tails), ["size", "tail"], "left_semi").select("text", "piece")
+    table = F.broadcast(table) if seen["n"] <= BROADCAST_KEYWORDS else table.hint("merge")
+    return cut.join(table, F.col("piece") == F.col("keyword")).groupBy("text").agg(F.min_by("value", "at").alias("value"))

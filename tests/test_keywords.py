@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import categorize
+from ledgerline.operators import categorize, keywords
 from ledgerline.operators.keywords import first_keywords, rule_table
 
 r = random.Random(8)
@@ -33,3 +33,15 @@ def test_large_rule_sets_give_what_small_ones_give(spark, monkeypatch):
     monkeypatch.setattr(categorize, "LITERAL_RULES", 0)
     assert said() == small and categorize.rule_category(df).columns == [*df.columns, "rule_category"] and sum(v is not None for v in small.values()) == 5
     assert df.withColumn("n", F.lit(1)).count() == 6
+
+
+def test_texts_meet_only_keywords_that_they_hold(spark, monkeypatch):
+    """f5_keyword_table: numbers share all their letters, and a text met every keyword that had some three of its own."""
+    monkeypatch.setattr(keywords, "BROADCAST_KEYWORDS", 0)
+    rules = spark.range(20_000).select(F.col("id").alias("at"), F.format_string("#%d R", "id").alias("keyword"), F.col("id").cast("string").alias("value"))
+    rules = rules.union(rules.selectExpr("at + 100000", "keyword", "'later'"))
+    texts = spark.range(500).select(F.format_string("paid %d to cust#%d Ref %d", F.col("id") * 31, F.col("id") * 53, F.col("id") * 7919).alias("text"))
+    made = first_keywords(texts, rules)
+    assert {r.text: r.value for r in made.collect()} == {f"paid {i * 31} to cust#{i * 53} Ref {i * 7919}": str(i * 53) for i in range(500) if i * 53 < 20_000}
+    plan = made._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "piece" in plan and "contains(" not in plan
