@@ -3,7 +3,7 @@
 Base spans that pass their checks always stay. High-recall generators propose overlapping spans beside them: anything
 around an @, addresses with "at" and "dot" in words or brackets, runs of digits with few or with many kinds of separators,
 full-width digits, four numbers with bracketed dots. Boosted trees score proposals by format and context. They learn
-from disguise: each base span of the fitting sample is rewritten as people do to hide it, and of the proposals around it
+from disguise: each base span of all documents is rewritten as people do to hide it, and of the proposals around it
 only the one with its very edges counts; proposals of plain texts that touch no base span count against, and so do dates, prices and other look-alikes. For each kind a
 threshold calibrated on held-out documents selects; of proposals that overlap the best one stays. The fitted trees
 become one SQL expression, so scoring is a narrow projection: no shuffle, no Python.
@@ -71,13 +71,13 @@ FEATURES = [
     "open_end", "wide_digits", "least_group", "most_group",
 ]
 
-#: Documents from which the trees are fitted, at most (chosen by a hash of the id), and the share of them that
-#: calibrates the thresholds.
-FIT_DOCS = 20_000
+#: The share of the documents that calibrates the thresholds; the trees are fitted from all others.
 CALIBRATE = 0.3
 #: The least precision, on held-out documents, above a threshold.
 PRECISION = 0.99
 TREES, DEPTH = 8, 3
+#: Rows that one task holds while trees are fitted, about.
+FIT_ROWS = 100_000
 
 
 def digits(value: Column) -> Column:
@@ -225,11 +225,10 @@ class PiiModel:
         return let(F.filter(scored, lambda c: c["over"] >= 0), best)
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, seed: int = 17) -> PiiModel:
-    """Trees fitted on the proposals of at most about fit_docs documents, as the module's docstring says."""
-    docs = documents(docs)
-    share = min(1.0, fit_docs / max(1, docs.count()))
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+def fit(docs: DataFrame, seed: int = 17) -> PiiModel:
+    """Trees fitted on the proposals of all documents, as the module's docstring says. Proposals that agree in all that
+    the trees look at are one row with their number as its weight."""
+    picked = documents(docs)
     held = (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + 1)), F.lit(1000)) < int(CALIBRATE * 1000)).alias("held")
     spans = F.concat(*[base_spans(F.col("text"), k) for k in KINDS])
     plain = picked.select(held, spans.alias("base"), proposals(F.col("text")).alias("found")).select("held", F.explode(F.filter("found", lambda c: ~F.exists("base", lambda b: meets(b, c)))).alias("c"))
@@ -239,15 +238,16 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, seed: int = 17) -> PiiModel:
     alike = picked.select(held, F.explode(decoys(F.col("text"), F.col("doc_id"))).alias("s")).select("held", F.explode(proposals(F.col("s"))).alias("c"))
     plain = plain.unionByName(alike.select(F.lit(0.0).alias("label"), "held", "c.*"))
     rows = plain.unionByName(hidden.select(whole.cast("double").alias("label"), "held", "c.*"))
-    rows = materialize(rows.select("label", "held", F.col("f_kind").cast("int").alias("kind_rank"), *[f"f_{f}" for f in FEATURES]), "pii-fit")
+    rows = rows.groupBy("label", "held", *[f"f_{f}" for f in FEATURES]).agg(F.count("*").cast("double").alias("n"))
+    rows = materialize(rows.withColumn("kind_rank", F.col("f_kind").cast("int")), "pii-fit")
     data = VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="features").transform(rows)
-    train = data.where(~F.col("held")).coalesce(4)
+    train = data.where(~F.col("held")).coalesce(max(4, rows.count() // FIT_ROWS))
     if train.select("label").distinct().count() < 2:
         return PiiModel()
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, maxBins=32).fit(train)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, maxBins=32, weightCol="n").fit(train)
     margin = trees_as_sql(trees, F.struct(*[F.col(f"f_{f}") for f in FEATURES]))
     levels = (
-        rows.where("held").select("kind_rank", F.round(margin, 3).alias("m"), "label").groupBy("kind_rank", "m").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+        rows.where("held").select("kind_rank", F.round(margin, 3).alias("m"), "label", "n").groupBy("kind_rank", "m").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     )  # a row for each leaf combination: bounded by the trees, not by the documents
     thresholds = {}
     for k, kind in enumerate(KINDS):

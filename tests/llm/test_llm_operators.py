@@ -484,3 +484,16 @@ def test_op9_and_its_statement(spark, tmp_path, docs):
 )
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
+
+
+def test_personal_data_is_learned_from_every_document(spark, monkeypatch):
+    """op1_pii: trees and thresholds came from a share of the documents."""
+    docs = spark.createDataFrame([(i, f"write to user{i}@mail{i % 7}.example.org or call +44 20 7946 {1000 + i}") for i in range(60)], "doc_id long, text string")
+    seen = []
+    whole = pii.materialize
+    monkeypatch.setattr(pii, "materialize", lambda df, name: (seen.append(whole(df, name)), seen[-1])[1])
+    monkeypatch.setattr(pii, "FIT_DOCS", 10, raising=False)
+    pii.fit(docs)
+    spoken = sum(r.n for r in seen[0].where("label = 1 AND f_kind = 0").collect())
+    assert seen[0].agg({"n": "sum"}).first()[0] > seen[0].count() and spoken >= 60
+    assert "fit_docs" not in pii.fit.__code__.co_varnames
