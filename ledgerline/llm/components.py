@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import delete, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         nxt = materialize(small.distinct(), "links")
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(e.sparkSession, e)
+        delete(e.sparkSession, e)
         e = nxt
         if now == said:
             break

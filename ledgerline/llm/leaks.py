@@ -100,6 +100,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFr
     of_item = of_item.select("item_key", "size", "item_print", F.explode(blocks(F.col("item_print"), radius)).alias("b")).select("item_key", "size", "item_print", "b.block", "b.value")
     pairs = of_window.select(*key, "print", "b.block", "b.value").join(of_item, ["size", "block", "value"])
     pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius).select(*key, "item_key").distinct()
+    pairs = materialize(pairs, "leak-pairs")  # fingerprints make large plans, which Spark plans anew after each of their stages
 
     checked = pairs.join(windows, key).join(items.drop("size"), "item_key").select(*key, "item_key", "item_ids", weighted_similarity(F.col("window"), F.col("item")).alias("similarity"))
     best = F.max_by(F.struct("similarity", "start"), F.struct("similarity", -F.col("start")))
@@ -109,7 +110,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a passage of the benchmark; all columns stay, whatever their names."""
-    return rows_of(docs, leaks(docs, benchmark).select("doc_id", "version").distinct(), "left_anti").select("row.*")
+    bad = materialize(leaks(docs, benchmark).select("doc_id", "version").distinct(), "leaking")
+    return rows_of(docs, bad, "left_anti").select("row.*")
 
 
 def op2_leaks(spark, sf_dir: str) -> DataFrame:

@@ -35,3 +35,18 @@ def test_stages_with_null_ids_and_any_columns(spark):
     assert sorted(r.lang for r in left["decontamination"].collect()) == ["a", "b", "c", "f", "g", "h"]
     assert {r.lang: r.text for r in left["pii"].collect()}["h"] == "mail [EMAIL] now"
     assert all(stages[name](spark, docs.limit(0), SF).count() == 0 for name in stages)
+
+
+def test_the_driver_plans_small_steps_and_loops_without_collecting_garbage(spark):
+    """The driver was stopped in decontamination. A JVM told to collect in each round of a loop grows its heap to its limit."""
+    from ledgerline.llm import leaks
+    from ledgerline.llm.components import components
+
+    beans = [b for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    before = sum(b.getCollectionCount() for b in beans)
+    links = spark.createDataFrame([(i, i + 1) for i in range(20) if i != 9], "a long, b long")
+    assert {(r.node, r.root) for r in components(links).collect()} == {(i, 0 if i < 10 else 10) for i in range(21)}
+    assert beans and sum(b.getCollectionCount() for b in beans) == before
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = leaks.clean(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
