@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _INVERSE, Bytes, byte_steps, documents, left_behind, mix, powers, table
+from .common import _INVERSE, Bytes, byte_steps, documents, left_behind, mix, powers, table, trim
 
 #: A chunk begins at a space if the hash of what precedes it is divisible by this.
 CUT_EVERY = 128
@@ -32,8 +32,16 @@ WINDOW = 16
 #: Chunks, and joins of them, that a Python worker remembers, and words; beyond it the memory starts anew.
 CACHE_CHUNKS, CACHE_WORDS = 40_000, 900_000
 
-#: What is known of a piece of text: the number of its ids, their decimals, and their decoded texts.
-Known = tuple[int, str, str]
+
+class _Tokens(dict):
+    """Decoded texts of ids by their decimals, each decoded when it is met first."""
+
+    def __init__(self, decode):
+        self.decode = decode
+
+    def __missing__(self, said: str) -> str:
+        text = self[said] = self.decode([int(said)])
+        return text
 
 
 class ChunkEncoder:
@@ -46,17 +54,18 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cut_every, self.cache_chunks, self.window = cut_every, cache_chunks, window
-        self.chunk: dict[str, Known] = {}
+        #: what is remembered of a piece of text: its ids' decimals, joined by a space
+        self.chunk: dict[str, str] = {}
         #: words with a space before them (the key is without it), and words that begin a text
-        self.word: dict[str, Known] = {}
-        self.old_word: dict[str, Known] = {}  # words of the last full memory, which come back when they are met
-        self.first: dict[str, Known] = {}
+        self.word: dict[str, str] = {}
+        self.old_word: dict[str, str] = {}  # words of the last full memory, which come back when they are met
+        self.first: dict[str, str] = {}
         #: whether the ids of two chunks side by side are those of both together, by the words beside the join
         self.agree: dict[str, bool] = {}
         #: kinds of joins inside chunks at which that is so, and those at which not
         self.sound: set[str] = set()
         self.unsound: set[str] = set()
-        self.tokens: dict[int, str] = {}
+        self.tokens = _Tokens(functools.partial(self.tokenizer.decode, skip_special_tokens=False))
         #: an added token stands between pieces that are encoded in one call: none sees its neighbours across it
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.wall, self.wall_id = next(iter(added.items()), (None, None))
@@ -96,12 +105,12 @@ class ChunkEncoder:
                 out += [ids[i:j] for i, j in zip([0, *(w + 1 for w in walls)], [*walls, len(ids)], strict=True)]
         return out
 
-    def _known(self, texts: list[str]) -> list[Known]:
-        return [(len(ids), " ".join(map(str, ids)), self.decode_ids(ids) if self.by_token else "") for ids in self._encode(texts)]
+    def _known(self, texts: list[str]) -> list[str]:
+        return [" ".join(map(str, ids)) for ids in self._encode(texts)]
 
     def _agree(self, pairs: list[tuple[str, str]]) -> list[bool]:
         """For each two known pieces: whether their ids side by side are those of both together."""
-        of = lambda piece: (self.word[piece[1:]] if piece[:1] == " " else self.first[piece])[1]
+        of = lambda piece: self.word[piece[1:]] if piece[:1] == " " else self.first[piece]
         both = self._encode([a + b for a, b in pairs])
         return [" ".join(filter(None, (of(a), of(b)))) == " ".join(map(str, x)) for (a, b), x in zip(pairs, both, strict=True)]
 
@@ -111,10 +120,6 @@ class ChunkEncoder:
         end = b.find(" ", 1)
         return a[max(0, a.rfind(" ")) :] + (b if end < 0 else b[:end])
 
-    def joined(self, known: list[Known]) -> Known:
-        full = [k for k in known if k[0]]
-        return sum([k[0] for k in full]), " ".join([k[1] for k in full]), self.glue.join([k[2] for k in full]) if self.by_token else ""
-
     def learn(self, texts: list[list[str]]) -> None:
         """Encode, once, the chunks that aren't known yet, and check the joins that aren't."""
         for cache, most in ((self.chunk, self.cache_chunks), (self.agree, self.cache_chunks), (self.first, CACHE_WORDS), (self.sound, CACHE_WORDS), (self.unsound, CACHE_WORDS)):
@@ -151,11 +156,11 @@ class ChunkEncoder:
         for c, p in new.items():
             if c not in self.chunk:
                 parts = [word[w] for w in p[1:]]
-                self.chunk[c] = self.joined([self.first[p[0]], *parts] if p[0] else parts)
+                self.chunk[c] = " ".join(filter(None, [self.first[p[0]], *parts] if p[0] else parts))
 
-    def join(self, chunks: list[str]) -> Known:
-        """What is known of a text from its chunks, all of them learned."""
-        done: list[Known] = []
+    def join(self, chunks: list[str]) -> str:
+        """The decimals of a text's ids from its chunks, all of them learned."""
+        done: list[str] = []
         last = ""
         for chunk in chunks:
             if done and not self.agree[self.beside(last, chunk)]:
@@ -164,14 +169,13 @@ class ChunkEncoder:
             else:
                 last = chunk
                 done.append(self.chunk[chunk])
-        return self.joined(done)
+        return " ".join(filter(None, done))
 
-    def encode_all(self, b: Bytes) -> list[Known]:
-        """What is known of each text: the number of its ids, their decimals and their decoded text."""
+    def encode_all(self, b: Bytes) -> list[tuple[int, str, str]]:
+        """Of each text: the number of its ids, their decimals and their decoded text."""
         texts = self.chunks(b)
         self.learn(texts)
-        found = [self.join(chunks) for chunks in texts]
-        return found if self.by_token else [(n, said, self.decode([int(i) for i in said.split()])) for n, said, _ in found]
+        return [(said.count(" ") + bool(said), said, self.decode_said(said)) for said in map(self.join, texts)]
 
     def encode(self, text: str) -> list[int]:
         """The ids of one text."""
@@ -181,14 +185,10 @@ class ChunkEncoder:
     def decode(self, ids: list[int]) -> str:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
-    def decode_ids(self, ids: list[int]) -> str:
-        """decode(), with each token decoded once where this tokenizer decodes token by token."""
-        if not self.by_token:
-            return self.decode(ids)
-        for i in ids:
-            if i not in self.tokens:
-                self.tokens[i] = self.decode([i])
-        return self.glue.join([self.tokens[i] for i in ids])
+    def decode_said(self, said: str) -> str:
+        """decode() of decimals, with each token decoded once where this tokenizer decodes token by token."""
+        ids = said.split()
+        return self.glue.join(map(self.tokens.__getitem__, ids)) if self.by_token else self.decode([int(i) for i in ids])
 
 
 @functools.cache
@@ -197,7 +197,15 @@ def worker_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-left_behind.append(worker_encoder.cache_clear)
+def _forget() -> None:
+    """Drop the encoder of this worker."""
+    if worker_encoder.cache_info().currsize:
+        worker_encoder.cache_clear()
+        gc.unfreeze()
+        gc.collect()
+
+
+left_behind.append(_forget)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
@@ -214,13 +222,16 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         coder = worker_encoder(tokenizer_path)
         gc.freeze()  # what is remembered holds no cycles
-        for b in byte_steps(batches):
-            n, said, decoded = zip(*coder.encode_all(b), strict=True)
-            ids = [[int(i) for i in x.split()] for x in said] if keep_ids else []
-            sha = lambda texts: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])
-            out = [b.ids, pa.array(n, pa.int64()), sha(said), sha(decoded)]
-            out += [pa.array(ids, pa.list_(pa.int32()))] * keep_ids + [pa.array(decoded)] * keep_text
-            yield pa.RecordBatch.from_arrays(out, schema=schema)
+        for batch in batches:
+            for b in byte_steps([batch]):
+                n, said, decoded = zip(*coder.encode_all(b), strict=True)
+                ids = [[int(i) for i in x.split()] for x in said] if keep_ids else []
+                sha = lambda texts: pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts])
+                out = [b.ids, pa.array(n, pa.int64()), sha(said), sha(decoded)]
+                out += [pa.array(ids, pa.list_(pa.int32()))] * keep_ids + [pa.array(decoded)] * keep_text
+                yield pa.RecordBatch.from_arrays(out, schema=schema)
+            batch = b = None  # the next task of this worker begins without them
+            trim()
 
     sql = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
     return documents(docs).mapInArrow(run, sql)

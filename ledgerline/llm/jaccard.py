@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_steps, give_back, join_versions, materialize, mix, release, rows_of, shingles, table, versions
+from .common import byte_steps, giving_back, join_versions, materialize, mix, release, rows_of, shingles, table, versions
 from .components import components
 from .spans import let
 
@@ -102,7 +102,7 @@ def nodes(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in giving_back(batches):
             node, size, prefix = [], [], []
             for _, t in token_sets([batch]):
                 k, n = node_of(t), len(t)
@@ -111,7 +111,6 @@ def nodes(docs: DataFrame) -> DataFrame:
                 prefix.append(t[: slack(n) + reach(n)] if n > 2 and k not in seen else t[:0])
                 seen.add(k)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64()), _lists(prefix)], names=["doc_id", "version", "node", "n", "prefix"])
-            give_back()
 
     return docs.select("doc_id", "text", "version").mapInArrow(run, "doc_id long, version long, node long, n long, prefix array<long>")
 
@@ -131,12 +130,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     words = [f"p{i}" for i in range(WORDS)]
 
     def run(batches):
-        for batch in batches:
+        for batch in giving_back(batches):
             sets = [t for _, t in token_sets([batch])]
             parts = np.array([parities(t) for t in sets], dtype=np.int64).reshape(len(sets), WORDS)
             columns = [pa.array([node_of(t) for t in sets], pa.int64()), pa.array([len(t) for t in sets], pa.int64()), _lists(sets), *(pa.array(parts[:, i]) for i in range(WORDS))]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "tokens", *words])
-            give_back()
 
     rows = join_versions(docs, wanted).select("doc_id", "text")
     return rows.mapInArrow(run, "node long, n long, tokens array<long>, " + ", ".join(f"{w} long" for w in words))

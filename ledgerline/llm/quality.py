@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bytes, byte_steps, crc_mod, documents, give_back, table, words, word_hashes
+from .common import Bytes, byte_steps, crc_mod, documents, giving_back, table, words, word_hashes
 
 #: Labelled documents that are collected to fit the weights, at most.
 FIT_DOCS = 1500
@@ -193,7 +193,7 @@ def score(docs: DataFrame, field: LineField) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_steps(batches):
+        for b in byte_steps(giving_back(batches)):
             yield pa.RecordBatch.from_arrays([b.ids, pa.array(field.quality(Lines(b)), pa.float64())], names=["doc_id", "score"])
 
     return documents(docs).mapInArrow(run, "doc_id long, score double")
@@ -204,10 +204,9 @@ def keep_good(docs: DataFrame, field: LineField, least: float = 0.5) -> DataFram
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in giving_back(batches):
             quality = [field.quality(Lines(b)) for b in byte_steps([batch])]
             yield batch.filter(pa.array(np.concatenate(quality) >= least)) if quality else batch
-            give_back()
 
     return docs.select(*names).mapInArrow(run, docs.schema)
 

@@ -5,12 +5,14 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from ledgerline.llm import bpe, jaccard, leaks, licenses, pii, quality, repeats, scoring, secrets, vectors
+from ledgerline.llm import bpe, common, jaccard, leaks, licenses, pii, quality, repeats, scoring, secrets, vectors
 from ledgerline.llm.components import components
 
 rnd = random.Random(5)
@@ -329,6 +331,32 @@ def test_bpe_reuses_chunks():
     assert "".join(one).endswith(LONG) and len(set(one) & set(two)) > 0.9 * len(cut(LONG)) and 5 < len(LONG.split()) / len(cut(LONG)) < 200
 
 
+def test_bpe_remembers_ids_alone():
+    """pipeline was stopped in quality_classifier for the memory that encoders still held in its workers."""
+    coder, r = bpe.ChunkEncoder(bpe.public_path()), random.Random(5)
+    text = " ".join("".join(r.choices("abcdefghijklmnop", k=8)) for _ in range(3000))
+    found = coder.encode_all(bpe.Bytes(pa.array([0]), np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])))
+    ids = coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert found == [(len(ids), " ".join(map(str, ids)), coder.tokenizer.decode(ids, skip_special_tokens=False))]
+    held = {id(x): sys.getsizeof(x) for v in coder.word.values() for x in ([v, *v] if isinstance(v, tuple) else [v])}
+    assert len(coder.word) > 2900 and sum(held.values()) < 110 * len(coder.word)
+
+
+def test_memory_is_given_back_before_the_first_batch(spark, monkeypatch):
+    """A task drops what other operators left in its worker before it reads rows, not after the first of them."""
+    said, runs = [], []
+    docs = common.versions(spark.createDataFrame([(1, "a text")], "doc_id long, text string"))
+    field = quality.fit_field(["good words", "bad"], np.array([1, 0]), 1)
+    monkeypatch.setattr(common, "left_behind", [lambda: said.append("dropped")])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    quality.keep_good(docs, field), quality.score(docs, field), jaccard.nodes(docs), jaccard._sets(docs, docs.select("doc_id", "version"))
+    assert len(runs) == 4
+    for run in runs:
+        said.clear()
+        batches = (said.append("read") or pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["a text"], "version": [i]}) for i in range(2))
+        assert len(list(run(batches))) == 2 and said == ["dropped", "read", "dropped", "read", "dropped"]
+
+
 def test_scoring(docs):
     tokens = {i: (t or "").encode().lower().split() + [None] for i, t in by_id.items()}
     held = {i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
